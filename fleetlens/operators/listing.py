@@ -170,7 +170,7 @@ def last_checks(uptime: DataFrame, devices: DataFrame, n: int = 24, ips: list[st
     return newest.join(names, "device_id").select(
         "device_id",
         "ip_address",
-        "check_no",
+        F.col("check_no").cast("bigint").alias("check_no"),
         "checked_at",
         F.date_format("checked_at", "HH:mm").alias("time_of_day"),
         "is_online",

@@ -57,14 +57,14 @@ def uptime_ranking(devices: DataFrame, uptime: DataFrame) -> DataFrame:
 
     Rank and quartile follow the percentage rounded to a tenth; ties share a rank, and break by device
     id for the quartile. At most 1,001 percentages exist, so the histogram of (percentage, id range)
-    gives every device its place without one task seeing all devices, nor all devices at 100 %. The sums
-    per device are settled, so the checks are scanned once.
+    gives every device its place without one task seeing all devices, nor all devices at 100 %. The
+    scored devices are settled, so checks and devices are scanned once.
     """
-    checked = settled(check_sums(uptime, "device_id")).withColumnRenamed("device_id", "id")
+    checked = check_sums(uptime, "device_id").withColumnRenamed("device_id", "id")
     named = devices.select("id", "ip_address", "hostname", "device_type", "department").join(checked, "id")
     scored = named.withColumn("tenths", percent_tenths(F.col("online_checks"), F.col("total_checks")))
     id_range = F.call_function("div", F.col("id"), F.lit(IDS_PER_BUCKET))
-    placed = with_positions(scored, -F.col("tenths"), id_range, [F.col("id")])
+    placed = with_positions(settled(scored), -F.col("tenths"), id_range, [F.col("id")])
     uptime_pct = F.col("tenths") / F.lit(10.0)
     return placed.select(
         "ip_address",

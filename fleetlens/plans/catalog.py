@@ -16,7 +16,7 @@ from fleetlens.operators import changes, flips, listing, metrics, ranking, scans
 from fleetlens.plans.dashboard import dashboard_stats
 from fleetlens.session import scratch_dir
 from fleetlens.sources import constraints, exports, tables
-from fleetlens.sources.derived import AS_OF_EVENTS, AS_OF_ORDERS, Fleet, alerts_of, checks_of
+from fleetlens.sources.derived import AS_OF_EVENTS, AS_OF_ORDERS, GIVEN, Fleet, alerts_of, checks_of
 from fleetlens.streaming import monitor, probes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,7 +126,8 @@ def delete_devices(f: Fleet) -> DataFrame:
 
 
 def stream_source(f: Fleet, name: str) -> DataFrame:
-    return f.spark.readStream.schema(f.source(name).schema).parquet(f"{f.sf_dir}/{name}.parquet")
+    """A given table as a stream of files; the pattern finds a single file as well as a folder."""
+    return f.spark.readStream.schema(GIVEN[name]).parquet(f"{f.sf_dir}/{name}.parquet*")
 
 
 def zoned(df: DataFrame, column: str) -> DataFrame:
@@ -235,7 +236,7 @@ CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
     "fill_defaults": lambda f: tables.fill_defaults(f.devices, "devices", AS_OF_ORDERS),
     "inventory_export": lambda f: exports.inventory_export(f.devices),
     "inventory_report": lambda f: exports.inventory_report(f.devices),
-    "json_rows": lambda f: exports.to_json_rows(f.audit_logs),
+    "json_rows": lambda f: exports.to_json_rows(f.audit_logs.select(listing.AUDIT_COLUMNS)),
     "table_counts": table_counts,
     # streams
     "stream_log": lambda f: stored(f, streamed_checks(f), "log"),

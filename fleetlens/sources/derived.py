@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 AS_OF_EVENTS = "2024-01-31 00:00:00"
 AS_OF_ORDERS = "2001-08-02 00:00:00"
 
+# Columns of the given tables that are read here.
+GIVEN = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+                 o_orderdate timestamp_ntz, o_orderpriority string""",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+                   l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+                   l_shipdate timestamp_ntz""",
+}
+
 
 class Fleet:
     """The tables of one data directory. Frames are lazy; nothing is cached or written."""
@@ -24,7 +36,7 @@ class Fleet:
         self.sf_dir = sf_dir
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(GIVEN[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def uptime_log(self) -> DataFrame:
@@ -74,20 +86,21 @@ class Fleet:
 
     @cached_property
     def scan_history(self) -> DataFrame:
+        # The one-letter flag is compared by its code: a whole number stays in the hash aggregate.
         scans = self.source("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_suppkey").alias("supp"),
             F.min("l_shipdate").alias("started_at"),
             F.max("l_shipdate").alias("ended"),
-            F.min("l_returnflag").alias("flag"),
+            F.min(F.ascii("l_returnflag")).alias("flag"),
             F.min("l_quantity").alias("qty"),
         )
         return scans.selectExpr(
             "l_orderkey * 10 + l_linenumber AS id",
             "concat('10.', supp % 25, '.0.1-254') AS ip_range",
             "started_at",
-            "CASE WHEN flag <> 'N' THEN ended + INTERVAL 4 MINUTE END AS finished_at",
+            "CASE WHEN flag <> ascii('N') THEN ended + INTERVAL 4 MINUTE END AS finished_at",
             "CAST(qty AS INT) AS devices_found",
-            "CASE flag WHEN 'N' THEN 'running' WHEN 'A' THEN 'completed' ELSE 'failed' END AS status",
+            "CASE flag WHEN ascii('N') THEN 'running' WHEN ascii('A') THEN 'completed' ELSE 'failed' END AS status",
             "CASE WHEN l_linenumber % 2 = 0 THEN 'scheduled' ELSE 'manual' END AS triggered_by",
         )
 

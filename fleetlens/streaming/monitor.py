@@ -36,8 +36,9 @@ def run_monitor(probes: DataFrame, out: str, checkpoint: str, available_now: boo
             state = spark.createDataFrame([], STATE)
         else:
             state = spark.read.schema(STATE).parquet(f"{out}/state/batch={batch_id - 1}")
-        step(checks, state)[0].write.mode("overwrite").parquet(f"{out}/flips/batch={batch_id}")
-        step(checks, state)[1].write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+        flips, after = step(checks, state)
+        flips.write.mode("overwrite").parquet(f"{out}/flips/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
 
     trigger = {"availableNow": True} if available_now else {"processingTime": CHECK_INTERVAL}
     return (

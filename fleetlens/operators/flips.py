@@ -5,32 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions.clock import type_of
+from fleetlens.operators.ordering import HEAVY_ROWS, heavy_keys
 
-def status_flips(uptime: DataFrame, previous: DataFrame | None = None, chunk: str = "hour") -> DataFrame:
+
+def status_flips(
+    uptime: DataFrame, previous: DataFrame | None = None, chunk: str = "hour", heavy_rows: int = HEAVY_ROWS
+) -> DataFrame:
     """Checks at which a device changed state, as (device_id, id, checked_at, alert_type).
 
     The first check of a device is silent, unless ``previous`` (device_id, is_online) tells its state
-    from before.
+    from before; that state goes in as a check without a time, which sorts first.
 
-    The history of a device is cut into time chunks. Inside a chunk the previous state is a ``lag``.
-    The first check of a chunk takes the last state of the chunk before, found over one row per device
-    and chunk. So a device holding a large part of all checks is spread over its chunks.
+    The previous state is a ``lag`` over the checks of the device. The history of a device that holds
+    a large part of all checks is cut into time chunks first: inside a chunk it is still a ``lag``, and
+    the first check of a chunk takes the last state of the chunk before, found over one row per chunk.
     """
-    parts = uptime.select(
-        "device_id", "id", "checked_at", "is_online", F.date_trunc(chunk, "checked_at").alias("_chunk")
-    )
-    ends = parts.groupBy("device_id", "_chunk").agg(
-        F.max_by("is_online", F.struct("checked_at", "id")).alias("_last")
+    checks = uptime.select("device_id", "id", "checked_at", "is_online")
+    if previous is not None:
+        unknown = {c: F.lit(None).cast(type_of(checks, c)) for c in ("id", "checked_at")}
+        checks = checks.unionByName(previous.select("device_id", "is_online").withColumns(unknown))
+    heavy = heavy_keys(checks, "device_id", heavy_rows)
+    cut = F.date_trunc(chunk, "checked_at")
+
+    ends = (
+        checks.join(heavy, "device_id")
+        .groupBy("device_id", cut.alias("_chunk"))
+        .agg(F.max_by("is_online", F.struct("checked_at", "id")).alias("_last"))
     )
     before = F.lag("_last").over(Window.partitionBy("device_id").orderBy("_chunk"))
     carried = ends.select("device_id", "_chunk", before.alias("_carried"))
-    if previous is not None:
-        known = previous.select("device_id", F.col("is_online").alias("_known"))
-        carried = carried.join(known, "device_id", "left").select(
-            "device_id", "_chunk", F.coalesce("_carried", "_known").alias("_carried")
-        )
+
+    parts = checks.join(heavy, "device_id", "left").withColumn("_chunk", F.when(F.col("_heavy"), cut))
     inside = F.lag("is_online").over(Window.partitionBy("device_id", "_chunk").orderBy("checked_at", "id"))
-    lagged = parts.withColumn("_inside", inside).join(carried, ["device_id", "_chunk"])
+    lagged = parts.withColumn("_inside", inside).join(carried, ["device_id", "_chunk"], "left")
     was_online = F.coalesce("_inside", "_carried")
     return lagged.filter(was_online != F.col("is_online")).select(
         "device_id",

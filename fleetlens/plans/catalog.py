@@ -43,7 +43,7 @@ def append_table(f: Fleet) -> DataFrame:
     """Alerts of all status changes, appended to a table partitioned by day and read back."""
     path = scratch_dir(f.spark, "alerts")
     found = alert_ops.alert_rows(flips.status_flips(f.uptime_log), f.devices)
-    tables.append_table(found, path, "alerts", AS_OF_EVENTS, partition_by_day="created_at")
+    tables.append_table(found, path, "alerts", AS_OF_EVENTS, by_day=True)
     stored = plain_times(tables.load_table(f.spark, path, "alerts"))
     return stored.select("device_id", "alert_type", "message", "severity", "is_read", "created_at")
 

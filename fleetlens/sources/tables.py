@@ -4,20 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.clock import AsOf, moment
 from fleetlens.sources.schemas import AS_OF, DEFAULTS, HOST_SCAN, TABLES
 
+DAY = "day"
+# The column that tells when a row of a table came about.
+TIME_COLUMNS = {
+    "scan_history": "started_at",
+    "alerts": "created_at",
+    "uptime_log": "checked_at",
+    "audit_logs": "created_at",
+}
 
-def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet", **options) -> DataFrame:
+
+def load_table(
+    spark: SparkSession, path: str, name: str, fmt: str = "parquet", since: AsOf = None, **options
+) -> DataFrame:
     """One of the seven tables with its fixed schema, from parquet, CSV, JSON or JDBC.
 
-    For ``fmt="jdbc"`` the path is the connection URL; pass ``partitionColumn``, ``lowerBound``,
+    ``since`` keeps rows from that moment on; a table stored by day then skips the folders of earlier
+    days. For ``fmt="jdbc"`` the path is the connection URL; pass ``partitionColumn``, ``lowerBound``,
     ``upperBound`` and ``numPartitions`` to read in parallel.
     """
+    rows = _read(spark, path, name, fmt, options)
+    if since is not None:
+        first = moment(since)
+        rows = rows.filter(F.col(TIME_COLUMNS[name]) >= first)
+        if DAY in rows.columns:
+            rows = rows.filter(F.col(DAY) >= F.to_date(first))
+    return rows.select(TABLES[name].names)
+
+
+def _read(spark: SparkSession, path: str, name: str, fmt: str, options: dict) -> DataFrame:
     schema = TABLES[name]
     if fmt == "jdbc":
         rows = spark.read.format("jdbc").options(url=path, **{"dbtable": name, **options}).load()
@@ -28,8 +50,21 @@ def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
 
 
 def load_host_scan(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Nested scan output: one row per host with its protocol -> port -> state maps."""
-    return spark.read.schema(HOST_SCAN).format(fmt).load(path)
+    """Nested scan output: one row per host with its protocol -> port -> state maps.
+
+    JSON objects have text keys, so port numbers are read as text there and cast.
+    """
+    if fmt != "json":
+        return spark.read.schema(HOST_SCAN).format(fmt).load(path)
+    as_text = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([T.StructField("state", T.StringType())])))
+    fields = [T.StructField(f.name, as_text if f.name == "protocols" else f.dataType) for f in HOST_SCAN.fields]
+
+    def numbered(ports: Column) -> Column:
+        known = F.map_filter(ports, lambda port, _: port.rlike("^[0-9]+$"))
+        return F.transform_keys(known, lambda port, _: port.cast("int"))
+
+    rows = spark.read.schema(T.StructType(fields)).json(path)
+    return rows.withColumn("protocols", F.transform_values("protocols", lambda _, ports: numbered(ports)))
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -43,17 +78,16 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def append_table(df: DataFrame, path: str, name: str, as_of: AsOf = None, partition_by_day: str | None = None) -> None:
+def append_table(df: DataFrame, path: str, name: str, as_of: AsOf = None, by_day: bool = False) -> None:
     """Append rows to a parquet table, filled with the table's defaults.
 
-    ``partition_by_day`` names a timestamp column whose day becomes the partition directory, so that
-    period filters prune whole days.
+    ``by_day`` stores each day of the table's time column in a folder of its own.
     """
     rows = fill_defaults(conform(df, name), name, as_of)
-    writer = rows.write
-    if partition_by_day:
-        writer = rows.withColumn("day", F.to_date(partition_by_day)).write.partitionBy("day")
-    writer.mode("append").parquet(path)
+    if by_day:
+        rows.withColumn(DAY, F.to_date(TIME_COLUMNS[name])).write.partitionBy(DAY).mode("append").parquet(path)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def fill_defaults(df: DataFrame, name: str, as_of: AsOf = None) -> DataFrame:

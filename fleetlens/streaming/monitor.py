@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.operators.flips import status_flips
+from fleetlens.operators.ordering import join_spread
 from fleetlens.sources.tables import probe_schema
 from fleetlens.streaming.probes import CHECK_INTERVAL
 
@@ -49,7 +50,7 @@ def run_monitor(probes: DataFrame, out: str, checkpoint: str, available_now: boo
 def step(checks: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The flips of one batch of checks against the state so far, and the state after it."""
     known = state.select("device_id", F.struct("checked_at", "id").alias("_known"))
-    marked = checks.join(known, "device_id", "left").withColumn(
+    marked = join_spread(checks, known, "device_id").withColumn(
         "_stale", F.coalesce(F.struct("checked_at", "id") <= F.col("_known"), F.lit(False))
     )
     flips = status_flips(marked.filter(~F.col("_stale")), state.select("device_id", "is_online"))

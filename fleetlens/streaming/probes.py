@@ -16,7 +16,7 @@ from fleetlens.operators.metrics import rows
 from fleetlens.sources.tables import probe_schema
 
 LATENESS = "1 hour"
-BYTES_PER_TRIGGER = "2g"
+BYTES_PER_TRIGGER = 2 * 1024**3
 CHECK_INTERVAL = "300 seconds"
 
 

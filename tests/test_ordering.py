@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordering import first_rows_per_key, rank_by_histogram, with_positions
+from fleetlens.operators.ordering import first_rows_per_key, heavy_keys, join_spread, rank_by_histogram, with_positions
 from fleetlens.operators.ranking import bucket_of
 
 
@@ -64,6 +64,20 @@ def test_first_rows_are_pruned_before_the_shuffle(skewed):
     assert plan.count("WindowGroupLimit") >= 2
 
 
+def test_heavy_keys(skewed):
+    assert [r.k for r in heavy_keys(skewed, "k", at_least=500).collect()] == [0]
+    assert heavy_keys(skewed, "k").count() == 0
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_spread_join_equals_join(spark, skewed, how):
+    small = spark.createDataFrame([(i, f"n{i}") for i in range(30)], "k int, name string")
+    found = join_spread(skewed, small, "k", how, at_least=500)
+    plain = skewed.join(small, "k", how)
+    assert found.columns == plain.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_quartiles_equal_ntile(spark):
     sizes = [1, 2, 3, 4, 5, 6, 7, 8, 97, 98, 99, 100]
     rows = [(n, i) for n in sizes for i in range(1, n + 1)]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from fleetlens.functions import rules
 from fleetlens.functions.clock import days_before, type_of
 from fleetlens.operators import alerts as alert_ops
-from fleetlens.operators import changes, flips, listing, metrics, ranking, scans, sessions
+from fleetlens.operators import audit, changes, flips, listing, metrics, ranking, scans, sessions
 from fleetlens.plans.dashboard import dashboard_stats
 from fleetlens.session import scratch_dir
 from fleetlens.sources import constraints, exports, tables
@@ -102,6 +102,19 @@ def open_scans(f: Fleet) -> DataFrame:
     return scans.open_scans(requests, f.scan_history, AS_OF_ORDERS)
 
 
+def edit_audit_rows(f: Fleet) -> DataFrame:
+    edits = f.device_edits.withColumns({"user_id": F.lit(1), "username": F.lit("user_1")})
+    return plain_times(audit.edit_audit_rows(edits, AS_OF_EVENTS))
+
+
+def scan_audit_rows(f: Fleet) -> DataFrame:
+    """Every scan of the history as if requested again by an administrator; manual ones are detailed."""
+    asked = f.scan_history.withColumns(
+        {"detailed": F.col("triggered_by") == "manual", "user_id": F.lit(10), "username": F.lit(None).cast("string")}
+    )
+    return plain_times(audit.scan_audit_rows(asked, AS_OF_ORDERS))
+
+
 def revoke_sessions(f: Fleet) -> DataFrame:
     """Log out every expired token and every inactive user."""
     expired = f.sessions.filter(F.col("expires_at") < days_before(AS_OF_EVENTS, 10, type_of(f.sessions, "expires_at")))
@@ -226,6 +239,8 @@ CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
     "apply_status": lambda f: changes.apply_status(f.devices, f.uptime_log),
     "apply_edits": lambda f: changes.apply_edits(f.devices, f.device_edits),
     "mark_read": lambda f: changes.mark_read(f.alerts, f.alert_acks),
+    "edit_audit_rows": edit_audit_rows,
+    "scan_audit_rows": scan_audit_rows,
     "revoke_sessions": revoke_sessions,
     "apply_last_login": lambda f: sessions.apply_last_login(f.users, f.audit_logs),
     "delete_devices": delete_devices,

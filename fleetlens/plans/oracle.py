@@ -536,6 +536,17 @@ QUERIES = {
                '10.' || CAST(s_suppkey % 256 AS VARCHAR) || '.0.1-254' AS ip_range, {ORDERS_NOW} AS started_at,
                CAST(NULL AS TIMESTAMP) AS finished_at, 0 AS devices_found, 'running' AS status, 'manual' AS triggered_by
         FROM supplier""",
+    "edit_audit_rows": f"""
+        SELECT CAST(1 AS BIGINT) AS user_id, 'user_1' AS username, 'DEVICE_EDIT' AS action, 'device' AS entity_type,
+               id AS entity_id, 'Owner: ' || owner || ', Dept: ' || department AS details, 'success' AS status,
+               {EVENTS_NOW} AS created_at
+        FROM device_edits""",
+    "scan_audit_rows": f"""
+        SELECT CAST(10 AS BIGINT) AS user_id, CAST(NULL AS VARCHAR) AS username, 'SCAN_START' AS action,
+               CAST(NULL AS VARCHAR) AS entity_type, CAST(NULL AS BIGINT) AS entity_id,
+               CASE WHEN triggered_by = 'manual' THEN 'Detailed' ELSE 'Quick' END || ' scan: ' || ip_range AS details,
+               'success' AS status, {ORDERS_NOW} AS created_at
+        FROM scan_history""",
     "revoke_sessions": f"""
         SELECT s.* REPLACE (s.is_active AND s.expires_at >= {EVENTS_NOW} - INTERVAL 10 DAY AND u.is_active AS is_active)
         FROM sessions s JOIN users u ON u.id = s.user_id""",

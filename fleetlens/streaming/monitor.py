@@ -14,6 +14,7 @@ from fleetlens.streaming.probes import CHECK_INTERVAL
 STATE = (
     "device_id bigint, checked_at timestamp, id bigint, is_online boolean, online_at timestamp, ignored_checks bigint"
 )
+MARKED = "id bigint, device_id bigint, checked_at timestamp, is_online boolean, response_ms int, ignored boolean"
 
 
 def run_monitor(probes: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -23,21 +24,20 @@ def run_monitor(probes: DataFrame, out: str, checkpoint: str, available_now: boo
     of state) and ``state`` (every device's newest check). A batch reads the state its predecessor
     wrote, so a batch that is repeated after a failure overwrites its folders with the same content.
 
-    Checks not newer than a device's stored check are logged but otherwise ignored, and counted. The
-    work on a batch is the batch operator, so a batch may be a whole history, and a device may hold a
-    large part of it.
+    Checks not newer than a device's stored check are logged as ``ignored``, counted, and change
+    nothing else. The work on a batch is the batch operator, so a batch may be a whole history, and a
+    device may hold a large part of it.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        log_path = f"{out}/uptime_log/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(log_path)
-        checks = spark.read.schema(probe_schema()).parquet(log_path)
         if batch_id == 0:
             state = spark.createDataFrame([], STATE)
         else:
             state = spark.read.schema(STATE).parquet(f"{out}/state/batch={batch_id - 1}")
-        flips, after = step(checks, state)
+        log_path = f"{out}/uptime_log/batch={batch_id}"
+        mark_old(batch, state).write.mode("overwrite").parquet(log_path)
+        flips, after = step(spark.read.schema(MARKED).parquet(log_path), state)
         flips.write.mode("overwrite").parquet(f"{out}/flips/batch={batch_id}")
         after.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
 
@@ -47,18 +47,21 @@ def run_monitor(probes: DataFrame, out: str, checkpoint: str, available_now: boo
     )
 
 
-def step(checks: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The flips of one batch of checks against the state so far, and the state after it."""
+def mark_old(checks: DataFrame, state: DataFrame) -> DataFrame:
+    """Checks with ``ignored`` set where they are not newer than their device's stored check."""
     known = state.select("device_id", F.struct("checked_at", "id").alias("_known"))
-    marked = join_spread(checks, known, "device_id").withColumn(
-        "_stale", F.coalesce(F.struct("checked_at", "id") <= F.col("_known"), F.lit(False))
-    )
-    flips = status_flips(marked.filter(~F.col("_stale")), state.select("device_id", "is_online"))
-    fresh = F.when(~F.col("_stale"), F.struct("checked_at", "id", "is_online"))
+    old = F.coalesce(F.struct("checked_at", "id") <= F.col("_known"), F.lit(False))
+    return join_spread(checks, known, "device_id").select(*checks.columns, old.alias("ignored"))
+
+
+def step(marked: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The flips of one batch of marked checks against the state so far, and the state after it."""
+    flips = status_flips(marked.filter(~F.col("ignored")), state.select("device_id", "is_online"))
+    fresh = F.when(~F.col("ignored"), F.struct("checked_at", "id", "is_online"))
     news = marked.groupBy("device_id").agg(
         F.max(fresh).alias("newest"),
-        F.max(F.when(~F.col("_stale") & F.col("is_online"), F.col("checked_at"))).alias("new_online_at"),
-        F.count_if("_stale").alias("new_ignored"),
+        F.max(F.when(~F.col("ignored") & F.col("is_online"), F.col("checked_at"))).alias("new_online_at"),
+        F.count_if("ignored").alias("new_ignored"),
     )
     zero = F.lit(0).cast("bigint")
     after = state.join(news, "device_id", "full").select(

@@ -4,7 +4,7 @@ import fleet
 from fleet import NOW, ago, tuples
 from pyspark.sql import functions as F
 
-from fleetlens.operators import alerts, changes, scans
+from fleetlens.operators import alerts, audit, changes, scans
 from fleetlens.sources.schemas import HOST_SCAN, SCAN_RESULTS
 
 LATER = ago(hours=-1)
@@ -199,6 +199,19 @@ def test_alert_wording(spark):
     }
 
 
+def test_audit_rows(spark):
+    edits = spark.createDataFrame(
+        [(2, "eve", None, 7, "ann")], "id long, owner string, department string, user_id int, username string"
+    )
+    row = audit.edit_audit_rows(edits, NOW).first()
+    assert (row.action, row.entity_type, row.entity_id, row.details) == ("DEVICE_EDIT", "device", 2, "Owner: eve, Dept: None")
+    asked = spark.createDataFrame(
+        [(" 10.0.0.1-9", True, 7, "ann")], "ip_range string, detailed boolean, user_id int, username string"
+    )
+    row = audit.scan_audit_rows(asked, NOW).first()
+    assert (row.username, row.details, row.created_at) == ("ann", "Detailed scan: 10.0.0.1-9", NOW)
+
+
 def test_notifications(spark):
     found = alerts.notification_rows(fleet.alerts(spark), fleet.devices(spark)).collect()
     assert {r.alert_id: r.subject for r in found} == {

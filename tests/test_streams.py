@@ -103,8 +103,8 @@ def test_monitor_ignores_and_counts_old_checks(spark, feed, tmp_path):
 def test_repeated_batch_gives_the_same(spark):
     rows = checks(spark, 90)
     empty = spark.createDataFrame([], monitor.STATE)
-    flips, state = monitor.step(rows, empty)
-    again, after = monitor.step(rows, state)
+    flips, state = monitor.step(monitor.mark_old(rows, empty), empty)
+    again, after = monitor.step(monitor.mark_old(rows, state), state)
     assert again.count() == 0 and flips.count() > 0
     assert after.select("device_id", "checked_at", "is_online").exceptAll(state.select("device_id", "checked_at", "is_online")).count() == 0
 

@@ -154,6 +154,7 @@ def streamed_checks(f: Fleet) -> DataFrame:
 
 def stored(f: Fleet, stream: DataFrame, purpose: str) -> DataFrame:
     folder = scratch_dir(f.spark, purpose)
+    probes.use_rocksdb(f.spark)
     query = probes.write_stream(stream, f"{folder}/rows", f"{folder}/checkpoint", available_now=True)
     query.awaitTermination()
     return plain_times(f.spark.read.schema(stream.schema).parquet(f"{folder}/rows"))

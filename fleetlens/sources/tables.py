@@ -81,11 +81,15 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 def append_table(df: DataFrame, path: str, name: str, as_of: AsOf = None, by_day: bool = False) -> None:
     """Append rows to a parquet table, filled with the table's defaults.
 
-    ``by_day`` stores each day of the table's time column in a folder of its own.
+    ``by_day`` stores each day of the table's time column in a folder of its own, sorted by device
+    where there is one. Rows are rebalanced by day first: Spark then writes files of an even size,
+    several for a large day and few for small ones, instead of one file per task and day.
     """
     rows = fill_defaults(conform(df, name), name, as_of)
     if by_day:
-        rows.withColumn(DAY, F.to_date(TIME_COLUMNS[name])).write.partitionBy(DAY).mode("append").parquet(path)
+        order = [DAY, *[c for c in ("device_id",) if c in rows.columns]]
+        dated = rows.withColumn(DAY, F.to_date(TIME_COLUMNS[name])).hint("rebalance", DAY)
+        dated.sortWithinPartitions(*order).write.partitionBy(DAY).mode("append").parquet(path)
     else:
         rows.write.mode("append").parquet(path)
 

@@ -33,10 +33,12 @@ def run_monitor(probes: DataFrame, out: str, checkpoint: str, available_now: boo
         spark = batch.sparkSession
         if batch_id == 0:
             state = spark.createDataFrame([], STATE)
+            marked = batch.withColumn("ignored", F.lit(False))
         else:
             state = spark.read.schema(STATE).parquet(f"{out}/state/batch={batch_id - 1}")
+            marked = mark_old(batch, state)
         log_path = f"{out}/uptime_log/batch={batch_id}"
-        mark_old(batch, state).write.mode("overwrite").parquet(log_path)
+        marked.write.mode("overwrite").parquet(log_path)
         flips, after = step(spark.read.schema(MARKED).parquet(log_path), state)
         flips.write.mode("overwrite").parquet(f"{out}/flips/batch={batch_id}")
         after.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")

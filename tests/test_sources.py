@@ -30,6 +30,13 @@ def test_load_since_skips_the_folders_of_earlier_days(spark, tmp_path):
     assert "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_days_are_written_in_few_files(spark, tmp_path):
+    """A day is one file here, although every task held rows of every day."""
+    path = tmp_path / "uptime"
+    tables.append_table(fleet.uptime_log(spark).repartition(16), str(path), "uptime_log", NOW, by_day=True)
+    assert [len(list(day.glob("*.parquet"))) for day in path.glob("day=*")] == [1, 1]
+
+
 def test_append_fills_defaults(spark, tmp_path):
     path = str(tmp_path / "alerts")
     bare = spark.createDataFrame([(1, 4, "offline", "m")], "id long, device_id long, alert_type string, message string")

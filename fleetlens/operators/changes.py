@@ -13,6 +13,7 @@ from fleetlens.functions.labels import UNKNOWN
 from fleetlens.operators.ordering import first_rows_per_key, with_positions
 from fleetlens.session import settled
 
+ID_BUCKETS = 1024
 SCANNED = ["hostname", "device_type", "os_name", "os_family", "mac_address", "status", "open_ports"]
 
 
@@ -38,6 +39,17 @@ def assign_device_ids(new: DataFrame, devices: DataFrame) -> DataFrame:
     return assign_ids(new, devices, F.substring(address, 1, 3), F.substring(address, 1, 6), [address])
 
 
+def with_new_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """Ids for rows of any table, such as alerts or audit rows, in no particular order.
+
+    Rows are numbered within buckets of their hash; equal content always gets the same numbers.
+    """
+    content = [F.col(c) for c in new.columns]
+    coarse = F.pmod(F.xxhash64(*content), F.lit(ID_BUCKETS))
+    fine = F.pmod(F.xxhash64(F.lit("fine"), *content), F.lit(ID_BUCKETS))
+    return assign_ids(new, existing, coarse, fine, content)
+
+
 def last_result_per_address(results: DataFrame) -> DataFrame:
     """The last result of each address, by scan and place in the scan; missing type and status filled."""
     latest = first_rows_per_key(results, ["ip_address"], [F.desc("scan_id"), F.desc("seq")])

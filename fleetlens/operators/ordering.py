@@ -25,14 +25,16 @@ def heavy_keys(df: DataFrame, key: str, at_least: int = HEAVY_ROWS) -> DataFrame
 def join_spread(big: DataFrame, small: DataFrame, key: str, how: str = "left", at_least: int = HEAVY_ROWS) -> DataFrame:
     """``big.join(small, key, how)`` where one key may hold a large part of ``big``.
 
-    Rows of heavy keys are salted, and their rows of ``small`` are repeated once per salt. For a join
-    whose result is grouped by the same key: there Spark does not split skewed partitions by itself.
+    Rows of heavy keys are salted, and their rows of ``small`` are repeated once per salt. Rows without
+    a key are spread as well; they match nothing. For a join whose result is grouped by the same key:
+    there Spark does not split skewed partitions by itself.
     """
     heavy = heavy_keys(big, key, at_least)
     is_heavy = F.coalesce("_heavy", F.lit(False))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int")
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    left = big.join(heavy, key, "left").withColumn("_salt", F.when(is_heavy, spread).otherwise(0)).drop("_heavy")
+    salt = F.when(is_heavy | F.col(key).isNull(), spread).otherwise(0)
+    left = big.join(heavy, key, "left").withColumn("_salt", salt).drop("_heavy")
     right = small.join(heavy, key, "left").withColumn(
         "_salt", F.explode(F.when(is_heavy, every).otherwise(F.array(F.lit(0))))
     )

@@ -14,7 +14,7 @@ from fleetlens.functions.clock import days_before, type_of
 from fleetlens.operators import alerts as alert_ops
 from fleetlens.operators import audit, changes, flips, listing, metrics, ranking, scans, sessions
 from fleetlens.plans.dashboard import dashboard_stats
-from fleetlens.session import scratch_dir
+from fleetlens.session import scratch_dir, settled
 from fleetlens.sources import constraints, exports, tables
 from fleetlens.sources.derived import AS_OF_EVENTS, AS_OF_ORDERS, GIVEN, Fleet, alerts_of, checks_of
 from fleetlens.streaming import monitor, probes
@@ -40,10 +40,10 @@ def load_table(f: Fleet) -> DataFrame:
 
 
 def append_table(f: Fleet) -> DataFrame:
-    """Alerts of all status changes, appended to a table partitioned by day and read back."""
+    """Alerts of all status changes, given new ids, appended to a table stored by day and read back."""
     path = scratch_dir(f.spark, "alerts")
-    found = alert_ops.alert_rows(flips.status_flips(f.uptime_log), f.devices)
-    tables.append_table(found, path, "alerts", AS_OF_EVENTS, by_day=True)
+    found = settled(alert_ops.alert_rows(flips.status_flips(f.uptime_log), f.devices))
+    tables.append_table(changes.with_new_ids(found, f.alerts), path, "alerts", AS_OF_EVENTS, by_day=True)
     stored = plain_times(tables.load_table(f.spark, path, "alerts"))
     return stored.select("device_id", "alert_type", "message", "severity", "is_read", "created_at")
 

@@ -12,8 +12,8 @@ from fleetlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests", memory="6g")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session = local_session(3, "tests", memory="6g")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -84,6 +84,14 @@ def test_new_device_alerts_use_the_ids_of_the_upsert(spark):
     assert "10.0.0.7" in found[0].message
 
 
+def test_new_ids_follow_the_largest_and_repeat(spark):
+    rows = spark.createDataFrame([(i % 7, f"m{i % 50}") for i in range(200)], "device_id long, message string")
+    found = changes.with_new_ids(rows, fleet.alerts(spark))
+    assert sorted(r.id for r in found.collect()) == list(range(5, 205))
+    again = changes.with_new_ids(rows.repartition(3), fleet.alerts(spark))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect()))
+
+
 def test_apply_status(spark):
     checks = fleet.frame(
         spark,

@@ -72,6 +72,7 @@ def test_heavy_keys(skewed):
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_spread_join_equals_join(spark, skewed, how):
     small = spark.createDataFrame([(i, f"n{i}") for i in range(30)], "k int, name string")
+    skewed = skewed.withColumn("k", F.nullif("k", F.lit(5)))
     found = join_spread(skewed, small, "k", how, at_least=500)
     plain = skewed.join(small, "k", how)
     assert found.columns == plain.columns

@@ -305,10 +305,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     chosen = _with_texts(long, places, "places").mapInArrow(_context_rows, CONTEXT)
     repeats = _repeats(written(chosen, "contexts"))
 
-    own = met.where("differ").join(repeats, F.expr("g = g0 and s = s0"))
-    runs = own.select("id", "text_key", F.expr("x - a_last").alias("first"), F.expr("x - a_first").alias("last"))
-    runs = runs.union(met.where("not differ").select("id", "text_key", "low", "high"))
-    runs = runs.groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    # a row per segment, so that the join gives a row per anchor however many runs a segment has
+    per_segment = repeats.groupBy("g0", "s0").agg(F.collect_set(F.struct("a_first", "a_last")).alias("offsets"))
+    own = met.where("differ").join(per_segment, F.expr("g = g0 and s = s0"))
+    x = F.col("x")
+    in_text = F.transform("offsets", lambda r: F.struct((x - r["a_last"]).alias("first"), (x - r["a_first"]).alias("last")))
+    whole_segment = F.array(F.struct(F.col("low").alias("first"), F.col("high").alias("last")))
+    runs = own.select("id", "text_key", in_text.alias("runs"))
+    runs = runs.union(met.where("not differ").select("id", "text_key", whole_segment))
+    runs = runs.groupBy("id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     runs = written(runs, "runs")
     sized = rows.withColumn("n_bytes", byte_size(F.col("text")))
     changed = _with_texts(sized, runs, "runs").mapInArrow(

@@ -18,6 +18,8 @@ SAMPLE = 10_000
 #: Words that the models look at, and in how many labelled texts a word must occur.
 VOCABULARY = 1024
 MIN_TEXTS = 5
+#: Squared standard deviations from chance that a word must be: with a million words, chance brings one such.
+MIN_TELL = 25.0
 FOLDS = 4
 RIDGE = 1e-3
 STEPS = 120
@@ -129,7 +131,8 @@ def learn(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
         return F.pow(F.col(f"k{i}") - F.col("n") * rate, F.lit(2)) / (F.col("n") * rate * (1 - rate))
 
     tells = F.greatest(*(told(i) for i in range(len(categories))), F.lit(0.0))
-    chosen = counts.where(F.col("n") >= MIN_TEXTS).orderBy(tells.desc(), "w").limit(VOCABULARY).select("w").collect()
+    telling = counts.where(F.col("n") >= MIN_TEXTS).withColumn("tells", tells).where(F.col("tells") >= MIN_TELL)
+    chosen = telling.orderBy(F.desc("tells"), "w").limit(VOCABULARY).select("w").collect()
     words = {r["w"]: i for i, r in enumerate(chosen)}
     held = rows.sparkSession.sparkContext.broadcast(words)
 

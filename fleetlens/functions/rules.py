@@ -55,10 +55,10 @@ def device_type_basic(hostname: Column, ip_address: Column) -> Column:
 
 
 def numeric_ports(open_ports: Column) -> Column:
-    """``'631,http'`` -> ``[631]``; NULL text gives an empty array."""
+    """``'631,http'`` -> ``[631]``; NULL text gives an empty array, numbers that are no int are dropped."""
     tokens = F.split(F.coalesce(open_ports, F.lit("")), ",")
     digits = F.filter(tokens, lambda t: t.rlike("^[0-9]+$"))
-    return F.transform(digits, lambda t: t.cast("int"))
+    return F.filter(F.transform(digits, lambda t: t.try_cast("int")), lambda n: n.isNotNull())
 
 
 def device_type_advanced(

@@ -119,19 +119,31 @@ def apply_newest_status(devices: DataFrame, newest: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("is_online"), F.lit("online")).when(~F.col("is_online"), F.lit("offline")).otherwise(F.col("status"))
     )
-    last_seen = F.coalesce(F.col("online_at").cast(type_of(devices, "last_seen")), F.col("last_seen"))
+    last_seen = F.greatest("last_seen", F.col("online_at").cast(type_of(devices, "last_seen")))
     joined = devices.join(state, "id", "left")
     return joined.withColumns({"status": status, "last_seen": last_seen}).select(devices.columns)
 
 
 def apply_status(devices: DataFrame, uptime: DataFrame) -> DataFrame:
-    """Devices after their newest checks. ``last_seen`` moves to the newest online check only."""
+    """Devices after their newest checks. ``last_seen`` moves on to the newest online check, and never back."""
     return apply_newest_status(devices, newest_status(uptime))
 
 
-def apply_edits(devices: DataFrame, edits: DataFrame) -> DataFrame:
-    """Devices after edits of owner, department and notes; all three are replaced, NULLs included."""
+def last_per_id(rows: DataFrame, order: str | None) -> DataFrame:
+    """The row of each ``id`` that is last by ``order``; ties, and all rows without an order, go to the greatest row."""
+    rest = [c for c in rows.columns if c != "id"]
+    first = [order] if order else []
+    last = F.max(F.struct(*first, *(c for c in rest if c not in first))).alias("_last")
+    return rows.groupBy("id").agg(last).select("id", *(F.col(f"_last.{c}").alias(c) for c in rest))
+
+
+def apply_edits(devices: DataFrame, edits: DataFrame, order: str | None = None) -> DataFrame:
+    """Devices after edits of owner, department and notes; all three are replaced, NULLs included.
+
+    Of several edits of a device the last by the column ``order`` counts.
+    """
     fields = ["owner", "department", "notes"]
+    edits = last_per_id(edits.select("id", *fields, *([order] if order else [])), order)
     new = edits.select("id", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_edited"))
     edited = F.coalesce("_edited", F.lit(False))
     joined = devices.join(new, "id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.clock import AsOf, moment, type_of
 from fleetlens.functions.rules import device_type_advanced, device_type_basic, os_family
-from fleetlens.operators.changes import assign_ids
+from fleetlens.operators.changes import assign_ids, last_per_id
 
 
 def open_port_numbers(protocols: Column) -> Column:
@@ -89,18 +89,19 @@ def open_scans(requests: DataFrame, scans: DataFrame, as_of: AsOf = None) -> Dat
     )
 
 
-def close_scans(scans: DataFrame, outcomes: DataFrame, as_of: AsOf = None) -> DataFrame:
+def close_scans(scans: DataFrame, outcomes: DataFrame, as_of: AsOf = None, order: str | None = None) -> DataFrame:
     """Scan rows after their outcomes (id, devices_found, status): end time, count and status set.
 
-    A failed scan counts 0.
+    A failed scan counts 0. Of several outcomes of a scan the last by the column ``order`` counts.
     """
     failed = F.col("status") == "failed"
-    done = outcomes.select(
+    outcomes = outcomes.select("id", "devices_found", "status", *([order] if order else []))
+    done = last_per_id(outcomes, order).select(
         "id",
         F.when(failed, F.lit(0)).otherwise(F.col("devices_found")).alias("_found"),
         F.col("status").alias("_status"),
         F.lit(True).alias("_closed"),
-    ).dropDuplicates(["id"])
+    )
     closed = F.coalesce("_closed", F.lit(False))
     ended = moment(as_of, type_of(scans, "finished_at"))
     return scans.join(done, "id", "left").select(

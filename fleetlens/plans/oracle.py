@@ -512,7 +512,7 @@ QUERIES = {
     "apply_status": """
         SELECT d.* REPLACE (
             CASE WHEN l.device_id IS NULL THEN d.status WHEN l.is_online THEN 'online' ELSE 'offline' END AS status,
-            coalesce(o.online_at, d.last_seen) AS last_seen)
+            greatest(o.online_at, d.last_seen) AS last_seen)
         FROM devices d
         LEFT JOIN device_latest l ON l.device_id = d.id
         LEFT JOIN (SELECT device_id, max(checked_at) AS online_at FROM uptime_log WHERE is_online GROUP BY device_id) o
@@ -566,7 +566,7 @@ QUERIES = {
     "stream_alerts": "SELECT * FROM alert_rows",
     "stream_status": """
         SELECT d.id, CASE WHEN l.device_id IS NULL THEN d.status WHEN l.is_online THEN 'online' ELSE 'offline' END AS status,
-               coalesce(o.online_at, d.last_seen) AS last_seen
+               greatest(o.online_at, d.last_seen) AS last_seen
         FROM devices d
         LEFT JOIN device_latest l ON l.device_id = d.id
         LEFT JOIN (SELECT device_id, max(checked_at) AS online_at FROM uptime_log WHERE is_online GROUP BY device_id) o

@@ -60,7 +60,7 @@ def load_host_scan(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     fields = [T.StructField(f.name, as_text if f.name == "protocols" else f.dataType) for f in HOST_SCAN.fields]
 
     def numbered(ports: Column) -> Column:
-        known = F.map_filter(ports, lambda port, _: port.rlike("^[0-9]+$"))
+        known = F.map_filter(ports, lambda port, _: port.rlike("^[0-9]+$") & port.try_cast("int").isNotNull())
         return F.transform_keys(known, lambda port, _: port.cast("int"))
 
     rows = spark.read.schema(T.StructType(fields)).json(path)

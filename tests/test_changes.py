@@ -105,8 +105,9 @@ def test_apply_status(spark):
         ],
     )
     after = {r.id: (r.status, r.last_seen) for r in changes.apply_status(fleet.devices(spark), checks).collect()}
-    assert after[1] == ("offline", ago(minutes=9))
-    assert after[13] == ("online", ago(minutes=5))
+    before = {r.id: r.last_seen for r in fleet.devices(spark).collect()}
+    assert after[1] == ("offline", max(before[1], ago(minutes=9)))
+    assert after[13] == ("online", max(filter(None, [before[13], ago(minutes=5)])))
     assert after[2] == ("online", NOW) and len(after) == 13
 
 
@@ -118,6 +119,31 @@ def test_apply_edits_replaces_with_null(spark):
     assert (after[3].department, after[3].notes) == ("IT", "old")
 
 
+def test_last_seen_never_moves_back(spark):
+    devices = fleet.devices(spark).withColumn("last_seen", F.lit(NOW))
+    checks = fleet.frame(spark, "uptime_log", [(1, 1, ago(days=90), True, 1)])
+    assert {r.last_seen for r in changes.apply_status(devices, checks).collect()} == {NOW}
+
+
+def test_last_edit_of_a_device_counts(spark):
+    schema = "edit_no long, id long, owner string, department string, notes string"
+    rows = [(2, 1, "first", "IT", None), (9, 1, "last", None, "n"), (5, 1, "second", "IT", None)]
+    for edits in (rows, rows[::-1]):
+        edited = changes.apply_edits(fleet.devices(spark), spark.createDataFrame(edits, schema), order="edit_no")
+        after = [r for r in edited.collect() if r.id == 1]
+        assert [(r.owner, r.department, r.notes) for r in after] == [("last", None, "n")]
+    assert edited.count() == fleet.devices(spark).count()
+
+
+def test_last_outcome_of_a_scan_counts(spark):
+    history = fleet.scan_history(spark)
+    schema = "id long, devices_found int, status string, at long"
+    rows = [(3, 4, "failed", 1), (3, 7, "completed", 2)]
+    for outcomes in (rows, rows[::-1]):
+        closed = scans.close_scans(history, spark.createDataFrame(outcomes, schema), LATER, order="at")
+        assert [(r.status, r.devices_found) for r in closed.filter("id = 3").collect()] == [("completed", 7)]
+
+
 def test_mark_read(spark):
     acks = spark.createDataFrame([(1,), (1,), (77,)], "alert_id long")
     assert {r.id: r.is_read for r in changes.mark_read(fleet.alerts(spark), acks).collect()} == {

@@ -107,3 +107,8 @@ def test_address_forms(spark):
     df = spark.createDataFrame([("10.0.0.1",)], "a string")
     link = text.address_to_url(F.col("a"))
     assert df.select(link, text.address_from_url(link)).first() == ("10-0-0-1", "10.0.0.1")
+
+
+def test_port_numbers_beyond_the_range_are_dropped(spark):
+    row = spark.createDataFrame([("22,99999999999,http",), (None,)], "p string")
+    assert [r[0] for r in row.select(rules.numeric_ports(F.col("p"))).collect()] == [[22], []]

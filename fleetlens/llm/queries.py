@@ -82,7 +82,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    chain = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"), ["low_quality", "toxic"])
+    chain = toxicity.learn(docs, labels, ["low_quality", "toxic"])
     return toxicity.predict(docs, chain)
 
 

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import kept_text, shipped
+from fleetlens.llm.common import kept_text, shipped, written
 
-#: Labelled rows that the linear models are fitted on, at most: about so many are drawn by a hash.
+#: Labelled rows that the linear models are fitted on, at most, drawn by a hash.
 SAMPLE = 10_000
 #: Words that the models look at, and in how many labelled texts a word must occur.
 VOCABULARY = 1024
@@ -108,22 +108,29 @@ def _word_sets(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0)))
 
 
-def learn(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text: str = "text") -> Chain:
-    """A chain for the 0/1 columns ``categories``, fitted in that order; rows with a null label are left out.
+def learn(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text: str = "text") -> Chain:
+    """A chain for the 0/1 columns ``categories`` of ``labels``, fitted in that order.
 
-    Words are chosen by how much their presence tells about a category, counted over all labelled rows. The
-    models are fitted on SAMPLE of them at most, which with VOCABULARY bounds what comes to the driver.
+    ``labels`` meet the documents by ``id_col``; rows with a null label or id are left out, repeated rows count
+    as often as they meet. Words are chosen by how much their presence tells about a category, counted over all
+    labelled documents. What is shuffled for that is the distinct words of each document, not its text, and by
+    the same plan at every size. The models are fitted on the documents of SAMPLE label rows at most, the only
+    ones that are broadcast; with VOCABULARY that bounds what comes to the driver.
     """
-    rows = labelled.select(
-        F.col(f"`{id_col}`").cast("string").alias("id"),
-        kept_text(f"`{text}`").alias("text"),
-        *(F.col(f"`{c}`").cast("int").alias(f"y{i}") for i, c in enumerate(categories)),
-    ).dropna(subset=[f"y{i}" for i in range(len(categories))])
-    sums = [F.sum(f"y{i}").alias(f"k{i}") for i in range(len(categories))]
-    total = rows.agg(F.count("*").alias("n"), *sums).first()
-    if not total["n"]:
+    y = [f"y{i}" for i in range(len(categories))]
+    marks = labels.select(
+        F.col(f"`{id_col}`").alias("id"), *(F.col(f"`{c}`").cast("int").alias(n) for c, n in zip(categories, y, strict=True))
+    ).dropna()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), kept_text(f"`{text}`").alias("text"))
+    # the empty word stands in every document, so its counts are those of all documents
+    words = F.array_join(F.concat(F.array(F.lit("")), _word_sets(F.col("text"))), " ").alias("words")
+    labelled = rows.where("id is not null").select("id", words).hint("merge").join(marks, "id")
+    sums = [F.sum(n).alias(f"k{i}") for i, n in enumerate(y)]
+    counts = labelled.select(F.explode(F.split("words", " ")).alias("w"), *y).groupBy("w").agg(F.count("*").alias("n"), *sums)
+    counts = written(counts.where((F.col("n") >= MIN_TEXTS) | (F.col("w") == "")), "word-counts")
+    total = counts.where("w = ''").first()
+    if not total:
         return Chain(categories, {}, [np.zeros(i + 1) for i in range(len(categories))], [2.0] * len(categories))
-    counts = rows.withColumn("w", F.explode(_word_sets(F.col("text")))).groupBy("w").agg(F.count("*").alias("n"), *sums)
 
     def told(i: int) -> Column:
         """How far the word's positive texts are from chance, in standard deviations, squared."""
@@ -131,29 +138,26 @@ def learn(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", te
         return F.pow(F.col(f"k{i}") - F.col("n") * rate, F.lit(2)) / (F.col("n") * rate * (1 - rate))
 
     tells = F.greatest(*(told(i) for i in range(len(categories))), F.lit(0.0))
-    telling = counts.where(F.col("n") >= MIN_TEXTS).withColumn("tells", tells).where(F.col("tells") >= MIN_TELL)
+    telling = counts.where(f"w <> '' and n >= {MIN_TEXTS}").withColumn("tells", tells).where(F.col("tells") >= MIN_TELL)
     chosen = telling.orderBy(F.desc("tells"), "w").limit(VOCABULARY).select("w").collect()
-    words = {r["w"]: i for i, r in enumerate(chosen)}
-    held = rows.sparkSession.sparkContext.broadcast(words)
+    vocabulary = {r["w"]: i for i, r in enumerate(chosen)}
+    held = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(_columns(t, held.value)) for t in batch.column("text").to_pylist()]
-            columns = [batch.column(n) for n in batch.schema.names if n != "text"]
             names = [n for n in batch.schema.names if n != "text"]
+            columns = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int32()))], [*names, "at"])
 
-    kinds = ", ".join(f"y{i} int" for i in range(len(categories)))
-    sample = rows
-    if total["n"] > SAMPLE:
-        h = F.xxhash64("id", "text")
-        share = F.lit(SAMPLE / total["n"])
-        sample = rows.where(F.pmod(h, F.lit(1 << 40)) < share * (1 << 40)).orderBy(h).limit(SAMPLE)
-    got = sample.mapInArrow(looked_up, f"id string, {kinds}, at array<int>").toPandas().sort_values("id", kind="stable")
+    drawn = F.broadcast(marks.orderBy(F.xxhash64("id", *y), "id", *y).limit(SAMPLE))
+    sample = rows.join(drawn, "id").select(F.xxhash64("id", "text").alias("h"), F.col("id").cast("string").alias("id"), "text", *y)
+    kinds = ", ".join(f"{n} int" for n in y)
+    sample = sample.select("h", "id", *y, "text").mapInArrow(looked_up, f"h long, id string, {kinds}, at array<int>")
+    got = sample.orderBy("h", "id", *y).limit(SAMPLE).toPandas().sort_values(["id", "h", *y], kind="stable")
     at = [np.asarray(a, np.int64) for a in got["at"]]
-    labels = got[[f"y{i}" for i in range(len(categories))]].to_numpy()
     folds = np.arange(len(got)) % FOLDS
-    return fit_chain(at, labels, folds, categories, words)
+    return fit_chain(at, got[y].to_numpy(), folds, categories, vocabulary)
 
 
 def _columns(text: str, words: dict[str, int]) -> set[int]:

@@ -339,13 +339,13 @@ def test_toxicity_chain(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("doc_id", "1 - quality as low_quality", "toxic")
     rows = docs.select("doc_id", "text").join(labels, "doc_id")
     test = F.col("doc_id") % 3 == 0
-    chain = toxicity.learn(rows.where(~test), ["low_quality", "toxic"])
+    chain = toxicity.learn(docs, labels.where(~test), ["low_quality", "toxic"])
     assert [len(w) for w in chain.weights] == [len(chain.words) + 1, len(chain.words) + 2]
     got = toxicity.predict(rows.where(test), chain).join(labels.withColumnRenamed("toxic", "truth"), "doc_id").toPandas()
     assert (got["toxic"] == (got["truth"] == 1)).mean() > 0.95
     odd = toxicity.predict(table(spark, ODD), chain).collect()
     assert len(odd) == len(ODD) and not any(r["toxic"] for r in odd)
-    nothing = toxicity.learn(rows.limit(0), ["low_quality", "toxic"])
+    nothing = toxicity.learn(docs, labels.limit(0), ["low_quality", "toxic"])
     assert not any(r["toxic"] for r in toxicity.predict(rows, nothing).collect())
 
 

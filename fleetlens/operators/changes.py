@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.clock import AsOf, moment, type_of
 from fleetlens.functions.labels import UNKNOWN
-from fleetlens.operators.ordering import first_rows_per_key, with_positions
+from fleetlens.operators.ordering import first_rows_per_key, time_and_id, with_positions
 from fleetlens.session import settled
 
 ID_BUCKETS = 1024
@@ -108,7 +108,7 @@ def upsert_devices(devices: DataFrame, results: DataFrame, as_of: AsOf = None, k
 def newest_status(uptime: DataFrame) -> DataFrame:
     """Per device the state of its newest check and the time of its newest online check."""
     return uptime.groupBy("device_id").agg(
-        F.max_by("is_online", F.struct("checked_at", "id")).alias("is_online"),
+        F.max_by("is_online", time_and_id()).alias("is_online"),
         F.max(F.when(F.col("is_online"), F.col("checked_at"))).alias("online_at"),
     )
 

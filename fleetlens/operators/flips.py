@@ -6,41 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.clock import type_of
-from fleetlens.operators.ordering import HEAVY_ROWS, heavy_keys
 
 
-def status_flips(
-    uptime: DataFrame, previous: DataFrame | None = None, chunk: str = "hour", heavy_rows: int = HEAVY_ROWS
-) -> DataFrame:
+def status_flips(uptime: DataFrame, previous: DataFrame | None = None, chunk: str = "hour") -> DataFrame:
     """Checks at which a device changed state, as (device_id, id, checked_at, alert_type).
 
     The first check of a device is silent, unless ``previous`` (device_id, is_online) tells its state
     from before; that state goes in as a check without a time, which sorts first.
 
-    The previous state is a ``lag`` over the checks of the device. The history of a device that holds
-    a large part of all checks is cut into time chunks first: inside a chunk it is still a ``lag``, and
-    the first check of a chunk takes the last state of the chunk before, found over one row per chunk.
+    The history of every device is cut into time chunks, whatever its length. Inside a chunk the state before
+    is a ``lag``. The first check of a chunk follows the last one of the chunk before, and is compared with it
+    among the first and last checks of all chunks: two rows for each at most.
     """
     checks = uptime.select("device_id", "id", "checked_at", "is_online")
     if previous is not None:
         unknown = {c: F.lit(None).cast(type_of(checks, c)) for c in ("id", "checked_at")}
         checks = checks.unionByName(previous.select("device_id", "is_online").withColumns(unknown))
-    heavy = heavy_keys(checks, "device_id", heavy_rows)
-    cut = F.date_trunc(chunk, "checked_at")
-
-    ends = (
-        checks.join(heavy, "device_id")
-        .groupBy("device_id", cut.alias("_chunk"))
-        .agg(F.max_by("is_online", F.struct("checked_at", "id")).alias("_last"))
+    inside = Window.partitionBy("device_id", "_chunk").orderBy("checked_at", "id")
+    parts = checks.withColumn("_chunk", F.date_trunc(chunk, "checked_at")).withColumns(
+        {
+            "_before": F.lag("is_online").over(inside),
+            "_first": F.lag(F.lit(True)).over(inside).isNull(),
+            "_last": F.lead(F.lit(True)).over(inside).isNull(),
+        }
     )
-    before = F.lag("_last").over(Window.partitionBy("device_id").orderBy("_chunk"))
-    carried = ends.select("device_id", "_chunk", before.alias("_carried"))
-
-    parts = checks.join(heavy, "device_id", "left").withColumn("_chunk", F.when(F.col("_heavy"), cut))
-    inside = F.lag("is_online").over(Window.partitionBy("device_id", "_chunk").orderBy("checked_at", "id"))
-    lagged = parts.withColumn("_inside", inside).join(carried, ["device_id", "_chunk"], "left")
-    was_online = F.coalesce("_inside", "_carried")
-    return lagged.filter(was_online != F.col("is_online")).select(
+    columns = ["device_id", "id", "checked_at", "is_online", "_before", "_first"]
+    ends = parts.filter("_first or _last").withColumn("_state", F.col("is_online"))
+    across = Window.partitionBy("device_id").orderBy("checked_at", "id")
+    firsts = ends.withColumn("_before", F.lag("_state").over(across)).filter("_first")
+    compared = parts.filter("not _first").select(columns).unionByName(firsts.select(columns))
+    return compared.filter("_before <> is_online").select(
         "device_id",
         "id",
         "checked_at",

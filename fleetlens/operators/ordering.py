@@ -6,39 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
-HEAVY_SHARE = 1000
-HEAVY_ROWS = 1_000_000
+#: More than the distance of any two 64-bit ids.
+ID_SPAN = 2 * 10**19
 
 
-def heavy_keys(df: DataFrame, key: str, at_least: int = HEAVY_ROWS) -> DataFrame:
-    """Keys that hold more than one in ``HEAVY_SHARE`` of all rows, and more than ``at_least`` rows.
+def time_and_id(time: str = "checked_at", number: str = "id") -> Column:
+    """One whole number that orders rows as (time, id) does.
 
-    There are fewer than ``HEAVY_SHARE`` of them whatever the data, so the frame is broadcast. Counting
-    reads the key column only and sums up before the shuffle.
+    Unlike a struct, a hash aggregate can hold it as the order of ``max_by``, without sorting all rows first.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("v")).scalar()
-    heavy = counts.filter((F.col("_n") > at_least) & (F.col("_n") * HEAVY_SHARE > total))
-    return F.broadcast(heavy.select(key, F.lit(True).alias("_heavy")))
-
-
-def join_spread(big: DataFrame, small: DataFrame, key: str, how: str = "left", at_least: int = HEAVY_ROWS) -> DataFrame:
-    """``big.join(small, key, how)`` where one key may hold a large part of ``big``.
-
-    Rows of heavy keys are salted, and their rows of ``small`` are repeated once per salt. Rows without
-    a key are spread as well; they match nothing. For a join whose result is grouped by the same key:
-    there Spark does not split skewed partitions by itself.
-    """
-    heavy = heavy_keys(big, key, at_least)
-    is_heavy = F.coalesce("_heavy", F.lit(False))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salt = F.when(is_heavy | F.col(key).isNull(), spread).otherwise(0)
-    left = big.join(heavy, key, "left").withColumn("_salt", salt).drop("_heavy")
-    right = small.join(heavy, key, "left").withColumn(
-        "_salt", F.explode(F.when(is_heavy, every).otherwise(F.array(F.lit(0))))
-    )
-    return left.join(right.drop("_heavy"), [key, "_salt"], how).drop("_salt")
+    micros = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(18,0)")
+    return micros * F.lit(str(ID_SPAN)).cast("decimal(20,0)") + F.col(number).cast("decimal(19,0)")
 
 
 def first_rows_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, number: str = "row_no") -> DataFrame:

@@ -20,6 +20,9 @@ from fleetlens.sources.derived import AS_OF_EVENTS, AS_OF_ORDERS, GIVEN, Fleet,
 from fleetlens.streaming import monitor, probes
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Parts in which checks arrive at the monitoring loop, and files of a part that go into one batch.
+PARTS = 4
+EVERY_FILE = 2**31 - 1
 
 
 def plain_times(df: DataFrame) -> DataFrame:
@@ -49,8 +52,10 @@ def append_table(f: Fleet) -> DataFrame:
 
 
 def audit_constraints(f: Fleet) -> DataFrame:
-    parents = {"devices": f.devices}
-    reports = [constraints.audit_constraints(getattr(f, t), t, parents) for t in ("devices", "alerts")]
+    """The rules of all tables, as if offline devices and inactive users had been deleted without their rows."""
+    parents = {"devices": f.devices.filter("status <> 'offline'"), "users": f.users.filter("is_active")}
+    names = ("devices", "scan_history", "alerts", "uptime_log", "users", "sessions", "audit_logs")
+    reports = [constraints.audit_constraints(getattr(f, t), t, parents) for t in names]
     return reduce(DataFrame.unionByName, reports)
 
 
@@ -160,20 +165,43 @@ def stored(f: Fleet, stream: DataFrame, purpose: str) -> DataFrame:
     return plain_times(f.spark.read.schema(stream.schema).parquet(f"{folder}/rows"))
 
 
+def updated(f: Fleet, stream: DataFrame, keys: list[str], purpose: str) -> DataFrame:
+    folder = scratch_dir(f.spark, purpose)
+    probes.use_rocksdb(f.spark)
+    probes.write_updates(stream, f"{folder}/rows", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return probes.newest_updates(f.spark, f"{folder}/rows", stream.schema, keys)
+
+
+def streamed_days(f: Fleet) -> DataFrame:
+    return updated(f, probes.daily_uptime(streamed_checks(f)), ["device_id", "window_start"], "daily-uptime")
+
+
+def streamed_alert_days(f: Fleet) -> DataFrame:
+    alerts = zoned(alerts_of(stream_source(f, "orders")), "created_at")
+    return updated(f, probes.daily_alerts(alerts), ["window_start", "alert_type", "severity"], "daily-alerts")
+
+
 def monitored(f: Fleet) -> str:
+    """The monitoring loop over all checks, which arrive in parts by time; each part is a batch of a new start."""
     folder = scratch_dir(f.spark, "monitor")
-    query = monitor.run_monitor(streamed_checks(f), f"{folder}/rows", f"{folder}/checkpoint", available_now=True)
-    query.awaitTermination()
+    checks = zoned(f.uptime_log, "checked_at")
+    cuts = checks.agg(F.percentile_approx("checked_at", [i / PARTS for i in range(1, PARTS)]).alias("v")).first()["v"]
+    at = F.col("checked_at")
+    for low, high in zip([None, *(cuts or [])], [*(cuts or []), None], strict=True):
+        part = checks.filter((at > low) if low else F.lit(True)).filter((at <= high) if high else F.lit(True))
+        part.write.mode("append").parquet(f"{folder}/feed")
+        arrived = probes.probe_stream(f.spark, f"{folder}/feed", max_files=EVERY_FILE)
+        query = monitor.run_monitor(arrived, f"{folder}/rows", f"{folder}/checkpoint", f.devices, available_now=True)
+        query.awaitTermination()
     return f"{folder}/rows"
 
 
 def stream_alerts(f: Fleet) -> DataFrame:
-    return plain_times(alert_ops.alert_rows(monitor.monitored_flips(f.spark, monitored(f)), f.devices))
+    return plain_times(monitor.monitored_alerts(f.spark, monitored(f)))
 
 
 def stream_status(f: Fleet) -> DataFrame:
-    state = plain_times(monitor.monitored_state(f.spark, monitored(f)))
-    return changes.apply_newest_status(f.devices, state).select("id", "status", "last_seen")
+    return monitor.monitored_devices(f.spark, monitored(f)).select("id", "status", "last_seen")
 
 
 CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
@@ -259,11 +287,9 @@ CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
     "stream_flips": lambda f: plain_times(monitor.monitored_flips(f.spark, monitored(f))),
     "stream_alerts": stream_alerts,
     "stream_status": stream_status,
-    "stream_daily_uptime": lambda f: stored(f, probes.daily_uptime(streamed_checks(f)), "daily-uptime"),
-    "stream_sliding_uptime": lambda f: stored(f, probes.sliding_uptime(streamed_checks(f)), "sliding-uptime"),
-    "stream_daily_alerts": lambda f: stored(
-        f, probes.daily_alerts(zoned(alerts_of(stream_source(f, "orders")), "created_at")), "daily-alerts"
-    ),
+    "stream_daily_uptime": lambda f: plain_times(streamed_days(f)),
+    "stream_sliding_uptime": lambda f: plain_times(probes.sliding_of_days(streamed_days(f))),
+    "stream_daily_alerts": lambda f: plain_times(streamed_alert_days(f)),
 }
 
 

@@ -245,14 +245,36 @@ def _alert_audit() -> str:
         for c, n in (("alert_type", 50), ("message", 500), ("severity", 20))
     ]
     parts.append(_unique("alerts", "id"))
-    parts.append(
-        _violations("alerts", "foreign_key", "device_id", "NOT EXISTS (SELECT 1 FROM devices d WHERE d.id = device_id)")
-    )
+    parts.append(_orphans("alerts", "device_id", "SELECT id FROM devices WHERE status <> 'offline'"))
+    return " UNION ALL ".join(parts)
+
+
+def _orphans(table: str, column: str, parents: str) -> str:
+    return _violations(table, "foreign_key", column, f"{column} NOT IN ({parents})")
+
+
+def _other_audits() -> str:
+    required = {
+        "scan_history": ("id", "ip_range", "started_at", "devices_found", "status"),
+        "uptime_log": ("id", "device_id", "checked_at", "is_online"),
+        "users": ("id", "username", "role", "is_active", "created_at"),
+        "sessions": ("user_id", "session_token", "expires_at", "is_active"),
+        "audit_logs": ("id", "action", "status", "created_at"),
+    }
+    unique = [("scan_history", "id"), ("uptime_log", "id"), ("users", "id"), ("users", "username")]
+    unique += [("sessions", "session_token"), ("audit_logs", "id")]
+    parts = [_violations(t, "not_null", c, f"{c} IS NULL") for t, columns in required.items() for c in columns]
+    parts.append(_violations("scan_history", "allowed", "status", "status NOT IN ('running', 'completed', 'failed')"))
+    lengths = (("ip_range", 50), ("status", 20), ("triggered_by", 100))
+    parts += [_violations("scan_history", "length", c, f"length({c}) > {n}") for c, n in lengths]
+    parts += [_unique(t, c) for t, c in unique]
+    parts.append(_orphans("uptime_log", "device_id", "SELECT id FROM devices WHERE status <> 'offline'"))
+    parts.append(_orphans("sessions", "user_id", "SELECT id FROM users WHERE is_active"))
     return " UNION ALL ".join(parts)
 
 
-def _closed_windows(length_days: int) -> str:
-    """Uptime per device and window behind the watermark of one hour."""
+def _windows(length_days: int) -> str:
+    """Uptime per device and window."""
     return f"""
         WITH starts AS (
             SELECT u.*, date_trunc('day', checked_at) - to_days(CAST(k AS INT)) AS window_start
@@ -261,8 +283,7 @@ def _closed_windows(length_days: int) -> str:
             SELECT device_id, window_start, window_start + to_days({length_days}) AS window_end, count(*) AS total_checks,
                    CAST(sum(CASE WHEN is_online THEN 1 ELSE 0 END) AS BIGINT) AS online_checks
             FROM starts GROUP BY device_id, window_start)
-        SELECT *, {pct('online_checks', 'total_checks')} AS uptime_pct FROM per_window
-        WHERE window_end <= (SELECT max(checked_at) FROM uptime_log) - INTERVAL 1 HOUR"""
+        SELECT *, {pct('online_checks', 'total_checks')} AS uptime_pct FROM per_window"""
 
 
 QUERIES = {
@@ -270,7 +291,7 @@ QUERIES = {
     "load_table": "SELECT * FROM uptime_log",
     "append_table": f"""
         SELECT device_id, alert_type, message, severity, is_read, created_at FROM alert_rows""",
-    "audit_constraints": f"{_device_audit()} UNION ALL {_alert_audit()}",
+    "audit_constraints": f"{_device_audit()} UNION ALL {_alert_audit()} UNION ALL {_other_audits()}",
     "fill_defaults": f"""
         SELECT * REPLACE (coalesce(status, 'unknown') AS status, coalesce(first_seen, {ORDERS_NOW}) AS first_seen)
         FROM devices""",
@@ -571,12 +592,11 @@ QUERIES = {
         LEFT JOIN device_latest l ON l.device_id = d.id
         LEFT JOIN (SELECT device_id, max(checked_at) AS online_at FROM uptime_log WHERE is_online GROUP BY device_id) o
                ON o.device_id = d.id""",
-    "stream_daily_uptime": _closed_windows(1),
-    "stream_sliding_uptime": _closed_windows(7),
+    "stream_daily_uptime": _windows(1),
+    "stream_sliding_uptime": _windows(7),
     "stream_daily_alerts": """
         SELECT date_trunc('day', created_at) AS window_start, alert_type, severity, count(*) AS n_alerts
         FROM alerts
-        WHERE date_trunc('day', created_at) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM alerts) - INTERVAL 1 HOUR
         GROUP BY 1, 2, 3""",
 }
 

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators.ordering import time_and_id
+
 # Fixed clocks in place of "now", one per source of time.
 AS_OF_EVENTS = "2024-01-31 00:00:00"
 AS_OF_ORDERS = "2001-08-02 00:00:00"
@@ -46,7 +48,7 @@ class Fleet:
     def devices(self) -> DataFrame:
         key = "c_custkey"
         newest = self.uptime_log.groupBy("device_id").agg(
-            F.max_by(F.struct("checked_at", "is_online"), F.struct("checked_at", "id")).alias("newest")
+            F.max("checked_at").alias("last_seen"), F.max_by("is_online", time_and_id()).alias("is_online")
         )
         first = self.source("orders").groupBy(F.col("o_custkey").alias("first_id")).agg(
             F.min("o_orderdate").alias("first_seen")
@@ -71,11 +73,11 @@ class Fleet:
             f"CASE WHEN {key} % 5 <> 0 THEN concat('AA:BB:CC:00:00:', 10 + {key} % 90) END AS mac_address",
             f"CASE WHEN {key} % 4 <> 0 THEN concat('owner_', {key} % 40) END AS owner",
             """element_at(array('IT', 'HR', 'Finance', 'Development', '', NULL), c_nationkey % 6 + 1) AS department""",
-            """CASE WHEN newest IS NULL THEN 'unknown' WHEN newest.is_online THEN 'online'
+            """CASE WHEN last_seen IS NULL THEN 'unknown' WHEN is_online THEN 'online'
                ELSE 'offline' END AS status""",
             f"""element_at(array('80,443,22', '80,443,3389,8080', '22,8080', '3389', '9100,515', '22', '22,3000',
                                  '631,http', NULL), CAST({key} % 9 + 1 AS INT)) AS open_ports""",
-            "newest.checked_at AS last_seen",
+            "last_seen",
             "first_seen",
             f"CASE WHEN {key} % 3 = 0 THEN concat('note ', {key}) END AS notes",
         )

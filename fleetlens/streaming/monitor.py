@@ -1,13 +1,17 @@
-"""The monitoring loop: log every probe, find status changes, keep the state of each device."""
+"""The monitoring loop: log every probe, find status changes, raise alerts, keep the state of each device."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetlens.operators.alerts import alert_rows
+from fleetlens.operators.changes import apply_newest_status
 from fleetlens.operators.flips import status_flips
-from fleetlens.operators.ordering import join_spread
+from fleetlens.operators.ordering import time_and_id
 from fleetlens.sources.tables import probe_schema
 from fleetlens.streaming.probes import CHECK_INTERVAL
 
@@ -15,33 +19,51 @@ STATE = (
     "device_id bigint, checked_at timestamp, id bigint, is_online boolean, online_at timestamp, ignored_checks bigint"
 )
 MARKED = "id bigint, device_id bigint, checked_at timestamp, is_online boolean, response_ms int, ignored boolean"
+FLIPS = "device_id bigint, id bigint, checked_at timestamp, alert_type string"
+ALERTS = (
+    "device_id bigint, alert_type string, message string, severity string, is_read boolean, created_at timestamp"
+)
+COMMITS = "seq bigint, run string, batch bigint"
 
 
-def run_monitor(probes: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def run_monitor(
+    probes: DataFrame, out: str, checkpoint: str, devices: DataFrame | None = None, available_now: bool = False
+) -> StreamingQuery:
     """Work through probe rows micro-batch by micro-batch.
 
     Below ``out``, each batch writes its own folder of ``uptime_log`` (all probes), ``flips`` (changes
-    of state) and ``state`` (every device's newest check). A batch reads the state its predecessor
-    wrote, so a batch that is repeated after a failure overwrites its folders with the same content.
+    of state) and, if ``devices`` are given, ``alerts``. Folders are named by the id that the checkpoint holds and
+    by batch, so a new checkpoint over the same ``out`` overwrites nothing and goes on from the last state.
+
+    ``state`` (every device's newest check) and ``devices`` (status and last_seen after it) have two places that are
+    written in turn; the commit that ends a batch says which is the newest. A batch that is repeated after a
+    failure reads its predecessor's place and writes the same content again. One run at a time may use ``out``.
 
     Checks not newer than a device's stored check are logged as ``ignored``, counted, and change
     nothing else. The work on a batch is the batch operator, so a batch may be a whole history, and a
     device may hold a large part of it.
     """
+    spark = probes.sparkSession
+    spark.createDataFrame([], COMMITS).write.mode("ignore").parquet(f"{out}/commits/start")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
-            state = spark.createDataFrame([], STATE)
-            marked = batch.withColumn("ignored", F.lit(False))
-        else:
-            state = spark.read.schema(STATE).parquet(f"{out}/state/batch={batch_id - 1}")
-            marked = mark_old(batch, state)
-        log_path = f"{out}/uptime_log/batch={batch_id}"
-        marked.write.mode("overwrite").parquet(log_path)
-        flips, after = step(spark.read.schema(MARKED).parquet(log_path), state)
-        flips.write.mode("overwrite").parquet(f"{out}/flips/batch={batch_id}")
-        after.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+        run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        others = [c for c in _commits(spark, out) if (c["run"], c["batch"]) != (run, batch_id)]
+        seq = others[0]["seq"] + 1 if others else 0
+        state = _state_of(spark, out, seq - 1) if others else spark.createDataFrame([], STATE)
+        own = f"run={run}/batch={batch_id}"
+        mark_old(batch, state).write.mode("overwrite").parquet(f"{out}/uptime_log/{own}")
+        flips, after = step(spark.read.schema(MARKED).parquet(f"{out}/uptime_log/{own}"), state)
+        flips.write.mode("overwrite").parquet(f"{out}/flips/{own}")
+        after.write.mode("overwrite").parquet(f"{out}/state/{seq % 2}")
+        if devices is not None:
+            found = spark.read.schema(FLIPS).parquet(f"{out}/flips/{own}")
+            alert_rows(found, devices).write.mode("overwrite").parquet(f"{out}/alerts/{own}")
+            checked = apply_newest_status(devices, _state_of(spark, out, seq))
+            checked.write.mode("overwrite").parquet(f"{out}/devices/{seq % 2}")
+        commit = spark.createDataFrame([(seq, run, batch_id)], COMMITS)
+        commit.coalesce(1).write.mode("overwrite").parquet(f"{out}/commits/{seq % 2}")
 
     trigger = {"availableNow": True} if available_now else {"processingTime": CHECK_INTERVAL}
     return (
@@ -49,28 +71,43 @@ def run_monitor(probes: DataFrame, out: str, checkpoint: str, available_now: boo
     )
 
 
+def _commits(spark: SparkSession, out: str) -> list:
+    """The commits of the last two batches, newest first."""
+    return spark.read.schema(COMMITS).parquet(f"{out}/commits/*").orderBy(F.desc("seq")).collect()
+
+
+def _state_of(spark: SparkSession, out: str, seq: int) -> DataFrame:
+    return spark.read.schema(STATE).parquet(f"{out}/state/{seq % 2}")
+
+
 def mark_old(checks: DataFrame, state: DataFrame) -> DataFrame:
-    """Checks with ``ignored`` set where they are not newer than their device's stored check."""
+    """Checks with ``ignored`` set where they are not newer than their device's stored check.
+
+    The result is written as it is, so adaptive execution may split a device that fills a partition.
+    """
     known = state.select("device_id", F.struct("checked_at", "id").alias("_known"))
     old = F.coalesce(F.struct("checked_at", "id") <= F.col("_known"), F.lit(False))
-    return join_spread(checks, known, "device_id").select(*checks.columns, old.alias("ignored"))
+    return checks.join(known, "device_id", "left").select(*checks.columns, old.alias("ignored"))
 
 
 def step(marked: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The flips of one batch of marked checks against the state so far, and the state after it."""
-    flips = status_flips(marked.filter(~F.col("ignored")), state.select("device_id", "is_online"))
-    fresh = F.when(~F.col("ignored"), F.struct("checked_at", "id", "is_online"))
+    fresh = ~F.col("ignored")
+    flips = status_flips(marked.filter(fresh), state.select("device_id", "is_online"))
+    place = F.when(fresh, time_and_id())
     news = marked.groupBy("device_id").agg(
-        F.max(fresh).alias("newest"),
-        F.max(F.when(~F.col("ignored") & F.col("is_online"), F.col("checked_at"))).alias("new_online_at"),
+        F.max(F.when(fresh, F.col("checked_at"))).alias("new_at"),
+        F.max_by("id", place).alias("new_id"),
+        F.max_by("is_online", place).alias("new_online"),
+        F.max(F.when(fresh & F.col("is_online"), F.col("checked_at"))).alias("new_online_at"),
         F.count_if("ignored").alias("new_ignored"),
     )
     zero = F.lit(0).cast("bigint")
     after = state.join(news, "device_id", "full").select(
         "device_id",
-        F.coalesce("newest.checked_at", "checked_at").alias("checked_at"),
-        F.coalesce("newest.id", "id").alias("id"),
-        F.coalesce("newest.is_online", "is_online").alias("is_online"),
+        F.coalesce("new_at", "checked_at").alias("checked_at"),
+        F.coalesce("new_id", "id").alias("id"),
+        F.coalesce("new_online", "is_online").alias("is_online"),
         F.coalesce("new_online_at", "online_at").alias("online_at"),
         (F.coalesce("ignored_checks", zero) + F.coalesce("new_ignored", zero)).alias("ignored_checks"),
     )
@@ -78,15 +115,22 @@ def step(marked: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def monitored_log(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(probe_schema()).parquet(f"{out}/uptime_log/batch=*")
+    return spark.read.schema(probe_schema()).parquet(f"{out}/uptime_log/run=*/batch=*")
 
 
 def monitored_flips(spark: SparkSession, out: str) -> DataFrame:
-    schema = "device_id bigint, id bigint, checked_at timestamp, alert_type string"
-    return spark.read.schema(schema).parquet(f"{out}/flips/batch=*")
+    return spark.read.schema(FLIPS).parquet(f"{out}/flips/run=*/batch=*")
+
+
+def monitored_alerts(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(ALERTS).parquet(f"{out}/alerts/run=*/batch=*")
 
 
 def monitored_state(spark: SparkSession, out: str) -> DataFrame:
     """The state after the last batch."""
-    every = spark.read.schema(f"{STATE}, batch bigint").parquet(f"{out}/state")
-    return every.filter(F.col("batch") == every.agg(F.max("batch").alias("v")).scalar()).drop("batch")
+    return _state_of(spark, out, _commits(spark, out)[0]["seq"])
+
+
+def monitored_devices(spark: SparkSession, out: str) -> DataFrame:
+    """The devices with status and last_seen after the last batch."""
+    return spark.read.parquet(f"{out}/devices/{_commits(spark, out)[0]['seq'] % 2}")

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from fleetlens.functions.numbers import percent
 from fleetlens.operators.changes import newest_status
 from fleetlens.operators.metrics import rows
+from fleetlens.operators.ordering import first_rows_per_key
 from fleetlens.sources.tables import probe_schema
 
 LATENESS = "1 hour"
@@ -49,17 +50,18 @@ def _uptime_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def _per_day(checks: DataFrame) -> DataFrame:
+def _per_day(checks: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return (
-        checks.withWatermark("checked_at", LATENESS)
+        checks.withWatermark("checked_at", lateness)
         .groupBy("device_id", F.window("checked_at", "1 day").alias("period"))
         .agg(rows().alias("total_checks"), F.count_if("is_online").alias("online_checks"))
     )
 
 
-def daily_uptime(checks: DataFrame) -> DataFrame:
-    """Uptime per device and day, batch or stream. A stream emits a day once it is an hour past."""
-    return _uptime_columns(_per_day(checks))
+def daily_uptime(checks: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Uptime per device and day, batch or stream. In append mode a stream emits a day once it is ``lateness`` past;
+    checks that come later than that are not counted."""
+    return _uptime_columns(_per_day(checks, lateness))
 
 
 def sliding_uptime(checks: DataFrame, days: int = 7) -> DataFrame:
@@ -67,18 +69,46 @@ def sliding_uptime(checks: DataFrame, days: int = 7) -> DataFrame:
 
     Built on the daily sums, so a check is not copied into each of its windows.
     """
-    slid = (
-        _per_day(checks)
-        .groupBy("device_id", F.window(F.window_time("period"), f"{days} days", "1 day").alias("period"))
-        .agg(F.sum("total_checks").alias("total_checks"), F.sum("online_checks").alias("online_checks"))
+    return _slid(_per_day(checks).withColumn("at", F.window_time("period")), days)
+
+
+def sliding_of_days(daily: DataFrame, days: int = 7) -> DataFrame:
+    """The same from rows of ``daily_uptime``, batch only; no window waits to be closed."""
+    return _slid(daily.withColumn("at", F.col("window_start").cast("timestamp")), days)
+
+
+def _slid(per_day: DataFrame, days: int) -> DataFrame:
+    slid = per_day.groupBy("device_id", F.window("at", f"{days} days", "1 day").alias("period")).agg(
+        F.sum("total_checks").alias("total_checks"), F.sum("online_checks").alias("online_checks")
     )
     return _uptime_columns(slid)
 
 
-def daily_alerts(alerts: DataFrame) -> DataFrame:
+def write_updates(df: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Write what each micro-batch changes in a grouped stream to a folder of its own; see ``newest_updates``.
+
+    In append mode a window waits until the watermark has passed its end, so the last ones of an input that ends
+    are never written. Here each window is written as it stands whenever it changes.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = df.writeStream.foreachBatch(on_batch).outputMode("update").option("checkpointLocation", checkpoint)
+    trigger = {"availableNow": True} if available_now else {"processingTime": CHECK_INTERVAL}
+    return writer.trigger(**trigger).start()
+
+
+def newest_updates(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The last row written for each key."""
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return first_rows_per_key(every, keys, [F.desc("batch")]).select(schema.names)
+
+
+def daily_alerts(alerts: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Alerts per day, type and severity, batch or stream."""
     return (
-        alerts.withWatermark("created_at", LATENESS)
+        alerts.withWatermark("created_at", lateness)
         .groupBy(F.window("created_at", "1 day").alias("period"), "alert_type", "severity")
         .agg(rows().alias("n_alerts"))
         .select(F.col("period.start").alias("window_start"), "alert_type", "severity", "n_alerts")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordering import first_rows_per_key, heavy_keys, join_spread, rank_by_histogram, with_positions
+from fleetlens.operators.ordering import first_rows_per_key, rank_by_histogram, time_and_id, with_positions
 from fleetlens.operators.ranking import bucket_of
 
 
@@ -64,19 +64,13 @@ def test_first_rows_are_pruned_before_the_shuffle(skewed):
     assert plan.count("WindowGroupLimit") >= 2
 
 
-def test_heavy_keys(skewed):
-    assert [r.k for r in heavy_keys(skewed, "k", at_least=500).collect()] == [0]
-    assert heavy_keys(skewed, "k").count() == 0
-
-
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_spread_join_equals_join(spark, skewed, how):
-    small = spark.createDataFrame([(i, f"n{i}") for i in range(30)], "k int, name string")
-    skewed = skewed.withColumn("k", F.nullif("k", F.lit(5)))
-    found = join_spread(skewed, small, "k", how, at_least=500)
-    plain = skewed.join(small, "k", how)
-    assert found.columns == plain.columns
-    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+def test_time_and_id_orders_like_both(spark):
+    times = ["0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "2024-05-01 12:00:00", "9999-12-31 23:59:59"]
+    ids = [-(2**63), -1, 0, 7, 2**63 - 1]
+    rows = spark.createDataFrame([(t, i) for t in times for i in ids], "t string, id long")
+    rows = rows.withColumn("checked_at", F.col("t").cast("timestamp")).withColumn("place", time_and_id())
+    found = [(r.t, r.id) for r in rows.orderBy("place").select("t", "id").collect()]
+    assert found == sorted(found) and rows.select("place").distinct().count() == len(found)
 
 
 def test_quartiles_equal_ntile(spark):

@@ -63,10 +63,10 @@ def test_stateful_flips_equal_batch_and_survive_a_restart(spark, feed, tmp_path)
     assert news == {(0, 9000): 0, (1, 9002): 1}
 
 
-def run_monitor(spark, feed, tmp_path, **limit):
+def run_monitor(spark, feed, tmp_path, checkpoint="monitor-cp", devices=None, **limit):
     out = str(tmp_path / "monitor")
     stream = probes.probe_stream(spark, feed, **limit)
-    finish(monitor.run_monitor(stream, out, str(tmp_path / "monitor-cp"), available_now=True))
+    finish(monitor.run_monitor(stream, out, str(tmp_path / checkpoint), devices, available_now=True))
     return out
 
 
@@ -100,6 +100,34 @@ def test_monitor_ignores_and_counts_old_checks(spark, feed, tmp_path):
     assert monitor.monitored_log(spark, out).count() == 802
 
 
+def test_a_new_checkpoint_goes_on_from_the_last_state(spark, feed, tmp_path):
+    out = run_monitor(spark, feed, tmp_path, max_files=1)
+    before = flip_set(monitor.monitored_flips(spark, out))
+    state = {r.device_id: r for r in monitor.monitored_state(spark, out).collect()}
+    later = str(tmp_path / "later")
+    fleet.frame(spark, "uptime_log", [(9003, 1, NOW, not state[1].is_online, None)]).coalesce(1).write.parquet(later)
+    run_monitor(spark, later, tmp_path, checkpoint="another-cp")
+    assert monitor.monitored_log(spark, out).count() == 801
+    assert {i for _, i, _ in flip_set(monitor.monitored_flips(spark, out)) - before} == {9003}
+    after = {r.device_id: r for r in monitor.monitored_state(spark, out).collect()}
+    assert (after[1].id, after[1].is_online) == (9003, not state[1].is_online)
+    assert after[0] == state[0] and len(after) == len(state)
+
+
+def test_monitor_raises_alerts_and_moves_devices_per_batch(spark, feed, tmp_path):
+    devices, batch = fleet.devices(spark), checks(spark)
+    out = run_monitor(spark, feed, tmp_path, devices=devices, max_files=1)
+    wanted = alert_rows(status_flips(batch), devices)
+    assert sorted(map(tuple, monitor.monitored_alerts(spark, out).select(wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    moved = sorted(map(tuple, monitor.monitored_devices(spark, out).collect()))
+    assert moved == sorted(map(tuple, changes.apply_status(devices, batch).collect()))
+
+
+def test_newest_status_needs_no_sort(spark):
+    plan = changes.newest_status(checks(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_repeated_batch_gives_the_same(spark):
     rows = checks(spark, 90)
     empty = spark.createDataFrame([], monitor.STATE)

@@ -39,12 +39,15 @@ def assign_device_ids(new: DataFrame, devices: DataFrame) -> DataFrame:
     return assign_ids(new, devices, F.substring(address, 1, 3), F.substring(address, 1, 6), [address])
 
 
-def with_new_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Ids for rows of any table, such as alerts or audit rows, in no particular order.
+def with_new_ids(new: DataFrame, existing: DataFrame, time: str | None = None) -> DataFrame:
+    """Ids for rows of any table, such as alerts or audit rows; equal content always gets the same numbers.
 
-    Rows are numbered within buckets of their hash; equal content always gets the same numbers.
+    With a ``time`` column ids follow it, then the other columns; rows are numbered within the minute. Without one
+    they follow no particular order, and rows are numbered within buckets of their hash.
     """
-    content = [F.col(c) for c in new.columns]
+    content = [F.col(c) for c in new.columns if c != time]
+    if time:
+        return assign_ids(new, existing, F.date_trunc("day", time), F.date_trunc("minute", time), [F.col(time), *content])
     coarse = F.pmod(F.xxhash64(*content), F.lit(ID_BUCKETS))
     fine = F.pmod(F.xxhash64(F.lit("fine"), *content), F.lit(ID_BUCKETS))
     return assign_ids(new, existing, coarse, fine, content)

@@ -46,9 +46,9 @@ def append_table(f: Fleet) -> DataFrame:
     """Alerts of all status changes, given new ids, appended to a table stored by day and read back."""
     path = scratch_dir(f.spark, "alerts")
     found = settled(alert_ops.alert_rows(flips.status_flips(f.uptime_log), f.devices))
-    tables.append_table(changes.with_new_ids(found, f.alerts), path, "alerts", AS_OF_EVENTS, by_day=True)
+    tables.append_table(changes.with_new_ids(found, f.alerts, "created_at"), path, "alerts", AS_OF_EVENTS, by_day=True)
     stored = plain_times(tables.load_table(f.spark, path, "alerts"))
-    return stored.select("device_id", "alert_type", "message", "severity", "is_read", "created_at")
+    return stored.select("id", "device_id", "alert_type", "message", "severity", "is_read", "created_at")
 
 
 def audit_constraints(f: Fleet) -> DataFrame:
@@ -59,6 +59,13 @@ def audit_constraints(f: Fleet) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+def fill_defaults(f: Fleet) -> DataFrame:
+    """Devices that are not online have lost their status and first time, and get the defaults."""
+    online = F.col("status") == "online"
+    lost = f.devices.withColumns({c: F.when(online, F.col(c)) for c in ("first_seen", "status")})
+    return tables.fill_defaults(lost, "devices", AS_OF_ORDERS)
+
+
 def table_counts(f: Fleet) -> DataFrame:
     return tables.table_counts({t: getattr(f, t) for t in ("devices", "scan_history", "alerts", "uptime_log")})
 
@@ -108,7 +115,9 @@ def open_scans(f: Fleet) -> DataFrame:
 
 
 def edit_audit_rows(f: Fleet) -> DataFrame:
-    edits = f.device_edits.withColumns({"user_id": F.lit(1), "username": F.lit("user_1")})
+    """The edits, those without notes as edits that remove the owner."""
+    owner = F.when(F.col("notes").isNotNull(), F.col("owner"))
+    edits = f.device_edits.withColumns({"user_id": F.lit(1), "username": F.lit("user_1"), "owner": owner})
     return plain_times(audit.edit_audit_rows(edits, AS_OF_EVENTS))
 
 
@@ -277,7 +286,7 @@ CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
     "load_table": load_table,
     "append_table": append_table,
     "audit_constraints": audit_constraints,
-    "fill_defaults": lambda f: tables.fill_defaults(f.devices, "devices", AS_OF_ORDERS),
+    "fill_defaults": fill_defaults,
     "inventory_export": lambda f: exports.inventory_export(f.devices),
     "inventory_report": lambda f: exports.inventory_report(f.devices),
     "json_rows": lambda f: exports.to_json_rows(f.audit_logs.select(listing.AUDIT_COLUMNS)),

@@ -80,7 +80,7 @@ VIEWS = {
                'user_' || CAST(user_id AS STRING) || '@example.com' AS email,
                CASE WHEN user_id % 10 = 0 THEN 'admin' ELSE 'viewer' END AS role,
                user_id % 7 <> 0 AS is_active,
-               max(CASE WHEN event_type = 'signup' THEN ts END) AS last_login, min(ts) AS created_at
+               min(CASE WHEN event_type = 'signup' THEN ts END) AS last_login, min(ts) AS created_at
         FROM events GROUP BY user_id""",
     "sessions": """
         SELECT user_id, 'tok_' || CAST(event_id AS STRING) AS session_token, ts + INTERVAL 8 HOUR AS expires_at,
@@ -290,10 +290,14 @@ QUERIES = {
     # Sources and sinks
     "load_table": "SELECT * FROM uptime_log",
     "append_table": f"""
-        SELECT device_id, alert_type, message, severity, is_read, created_at FROM alert_rows""",
+        SELECT (SELECT max(id) FROM alerts) + row_number() OVER (ORDER BY created_at, device_id, alert_type, message) AS id,
+               device_id, alert_type, message, severity, is_read, created_at
+        FROM alert_rows""",
     "audit_constraints": f"{_device_audit()} UNION ALL {_alert_audit()} UNION ALL {_other_audits()}",
     "fill_defaults": f"""
-        SELECT * REPLACE (coalesce(status, 'unknown') AS status, coalesce(first_seen, {ORDERS_NOW}) AS first_seen)
+        SELECT * REPLACE (CASE WHEN status = 'online' THEN status ELSE 'unknown' END AS status,
+                          CASE WHEN status = 'online' AND first_seen IS NOT NULL THEN first_seen ELSE {ORDERS_NOW} END
+                              AS first_seen)
         FROM devices""",
     "inventory_export": f"SELECT {EXPORT_FIELDS} FROM devices",
     "inventory_report": f"""
@@ -559,7 +563,8 @@ QUERIES = {
         FROM supplier""",
     "edit_audit_rows": f"""
         SELECT CAST(1 AS BIGINT) AS user_id, 'user_1' AS username, 'DEVICE_EDIT' AS action, 'device' AS entity_type,
-               id AS entity_id, 'Owner: ' || owner || ', Dept: ' || department AS details, 'success' AS status,
+               id AS entity_id,
+               'Owner: ' || CASE WHEN notes IS NULL THEN 'None' ELSE owner END || ', Dept: ' || department AS details, 'success' AS status,
                {EVENTS_NOW} AS created_at
         FROM device_edits""",
     "scan_audit_rows": f"""

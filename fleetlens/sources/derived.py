@@ -125,7 +125,7 @@ class Fleet:
     @cached_property
     def users(self) -> DataFrame:
         people = self.source("events").groupBy("user_id").agg(
-            F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last_login"),
+            F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last_login"),
             F.min("ts").alias("created_at"),
         )
         return people.selectExpr(

@@ -129,6 +129,36 @@ def scan_audit_rows(f: Fleet) -> DataFrame:
     return plain_times(audit.scan_audit_rows(asked, AS_OF_ORDERS))
 
 
+def by_first_user(df: DataFrame) -> DataFrame:
+    return df.withColumns({"user_id": F.lit(1), "username": F.lit("user_1")})
+
+
+def view_audit_rows(f: Fleet) -> DataFrame:
+    """Every scanned address, viewed through its link by a user from that address."""
+    views = link_form(f).select(F.col("ip_address").alias("address"), F.translate("ip_address", "-", ".").alias("client_ip"))
+    return plain_times(audit.view_audit_rows(by_first_user(views), AS_OF_EVENTS))
+
+
+def export_audit_rows(f: Fleet) -> DataFrame:
+    """The inventory, exported in both forms."""
+    counted = f.devices.agg(F.count(F.lit(1)).alias("n_rows"))
+    exported = counted.select("n_rows", F.explode(F.array(F.lit("excel"), F.lit("csv"))).alias("form"))
+    return plain_times(audit.export_audit_rows(by_first_user(exported), AS_OF_EVENTS))
+
+
+def login_audit_rows(f: Fleet) -> DataFrame:
+    """Every logged login attempt once more; what failed had a wrong password."""
+    attempts = f.audit_logs.filter(F.col("action").isin("LOGIN", "LOGIN_FAILED"))
+    attempts = attempts.select("username", (F.col("action") == "LOGIN").alias("password_ok"), F.col("ip_address").alias("client_ip"))
+    return plain_times(audit.login_audit_rows(attempts, f.users, AS_OF_EVENTS))
+
+
+def logout_audit_rows(f: Fleet) -> DataFrame:
+    """Every live session ends."""
+    ended = live_sessions(f).select("user_id", "username")
+    return plain_times(audit.logout_audit_rows(ended, AS_OF_EVENTS))
+
+
 def revoke_sessions(f: Fleet) -> DataFrame:
     """Log out every expired token and every inactive user."""
     expired = f.sessions.filter(F.col("expires_at") < days_before(AS_OF_EVENTS, 10, type_of(f.sessions, "expires_at")))
@@ -279,6 +309,10 @@ CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
     "mark_read": lambda f: changes.mark_read(f.alerts, f.alert_acks),
     "edit_audit_rows": edit_audit_rows,
     "scan_audit_rows": scan_audit_rows,
+    "view_audit_rows": view_audit_rows,
+    "export_audit_rows": export_audit_rows,
+    "login_audit_rows": login_audit_rows,
+    "logout_audit_rows": logout_audit_rows,
     "revoke_sessions": revoke_sessions,
     "apply_last_login": lambda f: sessions.apply_last_login(f.users, f.audit_logs),
     "delete_devices": delete_devices,

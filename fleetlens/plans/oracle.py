@@ -564,15 +564,43 @@ QUERIES = {
     "edit_audit_rows": f"""
         SELECT CAST(1 AS BIGINT) AS user_id, 'user_1' AS username, 'DEVICE_EDIT' AS action, 'device' AS entity_type,
                id AS entity_id,
-               'Owner: ' || CASE WHEN notes IS NULL THEN 'None' ELSE owner END || ', Dept: ' || department AS details, 'success' AS status,
+               'Owner: ' || CASE WHEN notes IS NULL THEN 'None' ELSE owner END || ', Dept: ' || department AS details,
+               CAST(NULL AS VARCHAR) AS ip_address, 'success' AS status,
                {EVENTS_NOW} AS created_at
         FROM device_edits""",
     "scan_audit_rows": f"""
         SELECT CAST(10 AS BIGINT) AS user_id, CAST(NULL AS VARCHAR) AS username, 'SCAN_START' AS action,
                CAST(NULL AS VARCHAR) AS entity_type, CAST(NULL AS BIGINT) AS entity_id,
                CASE WHEN triggered_by = 'manual' THEN 'Detailed' ELSE 'Quick' END || ' scan: ' || ip_range AS details,
-               'success' AS status, {ORDERS_NOW} AS created_at
+               CAST(NULL AS VARCHAR) AS ip_address, 'success' AS status, {ORDERS_NOW} AS created_at
         FROM scan_history""",
+    "view_audit_rows": f"""
+        SELECT CAST(1 AS BIGINT) AS user_id, 'user_1' AS username, 'VIEW_DEVICE' AS action, 'device' AS entity_type,
+               CAST(NULL AS BIGINT) AS entity_id, 'Viewed device ' || ip_address AS details, ip_address,
+               'success' AS status, {EVENTS_NOW} AS created_at
+        FROM scan_results""",
+    "export_audit_rows": f"""
+        SELECT CAST(1 AS BIGINT) AS user_id, 'user_1' AS username, action, CAST(NULL AS VARCHAR) AS entity_type,
+               CAST(NULL AS BIGINT) AS entity_id,
+               'Exported devices: ' || CAST((SELECT count(*) FROM devices) AS VARCHAR) AS details,
+               CAST(NULL AS VARCHAR) AS ip_address, 'success' AS status, {EVENTS_NOW} AS created_at
+        FROM (VALUES ('EXPORT_EXCEL'), ('EXPORT_CSV')) forms(action)""",
+    "login_audit_rows": f"""
+        SELECT u.id AS user_id, a.username,
+               CASE WHEN u.is_active AND a.action = 'LOGIN' THEN 'LOGIN' ELSE 'LOGIN_FAILED' END AS action,
+               CAST(NULL AS VARCHAR) AS entity_type, CAST(NULL AS BIGINT) AS entity_id,
+               CASE WHEN u.id IS NULL THEN 'Unknown user' WHEN NOT u.is_active THEN 'Inactive user'
+                    WHEN a.action = 'LOGIN' THEN 'Logged in as ' || u.role ELSE 'Wrong password' END AS details,
+               a.ip_address, CASE WHEN u.is_active AND a.action = 'LOGIN' THEN 'success' ELSE 'failed' END AS status,
+               {EVENTS_NOW} AS created_at
+        FROM audit_logs a LEFT JOIN users u ON u.username = a.username
+        WHERE a.action IN ('LOGIN', 'LOGIN_FAILED')""",
+    "logout_audit_rows": f"""
+        SELECT user_id, username, 'LOGOUT' AS action, CAST(NULL AS VARCHAR) AS entity_type,
+               CAST(NULL AS BIGINT) AS entity_id, 'Logged out' AS details, CAST(NULL AS VARCHAR) AS ip_address,
+               'success' AS status, {EVENTS_NOW} AS created_at
+        FROM sessions s JOIN users u ON u.id = s.user_id
+        WHERE s.is_active AND u.is_active AND s.expires_at >= {EVENTS_NOW} - INTERVAL 10 DAY""",
     "revoke_sessions": f"""
         SELECT s.* REPLACE (s.is_active AND s.expires_at >= {EVENTS_NOW} - INTERVAL 10 DAY AND u.is_active AS is_active)
         FROM sessions s JOIN users u ON u.id = s.user_id""",

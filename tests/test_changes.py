@@ -246,6 +246,28 @@ def test_audit_rows(spark):
     assert (row.username, row.details, row.created_at) == ("ann", "Detailed scan: 10.0.0.1-9", NOW)
 
 
+def test_login_audit_rows(spark):
+    users = spark.createDataFrame([(1, "ann", True, "admin"), (2, "bob", False, "viewer")], "id long, username string, is_active boolean, role string")
+    tries = [("ann", True, "10.0.0.1"), ("ann", False, "10.0.0.2"), ("ann", None, "10.0.0.3"), ("bob", True, None), ("eve", True, "10.0.0.5"), (None, True, "10.0.0.6")]
+    tries = spark.createDataFrame(tries, "username string, password_ok boolean, client_ip string")
+    found = audit.login_audit_rows(tries, users, NOW).collect()
+    assert {(r.user_id, r.action, r.details, r.status, r.ip_address) for r in found} == {
+        (1, "LOGIN", "Logged in as admin", "success", "10.0.0.1"),
+        (1, "LOGIN_FAILED", "Wrong password", "failed", "10.0.0.2"),
+        (1, "LOGIN_FAILED", "Wrong password", "failed", "10.0.0.3"),
+        (2, "LOGIN_FAILED", "Inactive user", "failed", None),
+        (None, "LOGIN_FAILED", "Unknown user", "failed", "10.0.0.5"),
+        (None, "LOGIN_FAILED", "Unknown user", "failed", "10.0.0.6"),
+    }
+
+
+def test_ids_follow_time(spark):
+    rows = fleet.alerts(spark).drop("id")
+    found = changes.with_new_ids(rows, fleet.alerts(spark), "created_at").orderBy("id").collect()
+    assert [r.id for r in found] == [5, 6, 7, 8]
+    assert [r.created_at for r in found] == sorted(r.created_at for r in found)
+
+
 def test_notifications(spark):
     found = alerts.notification_rows(fleet.alerts(spark), fleet.devices(spark)).collect()
     assert {r.alert_id: r.subject for r in found} == {

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import kept_text, written
 
-#: Words at 0 may differ. All masks are equally long.
-MASKS = ["111010110011", "110011010111"]
-SPAN = len(MASKS[0])
-#: Words on either side of a seed that are compared.
-PAD = 16
 #: A stretch of so many aligned words, or the whole item if it is shorter, must agree in SHARE percent of them.
 STRETCH = 16
 SHARE = 80
-#: Items with fewer words are no evidence. Those shorter than a seed are sought as a whole.
+#: Words before a seed that are compared, and from its start on: any stretch that holds the seed lies within.
+PAD = STRETCH - 1
+#: Items with fewer words are no evidence.
 MIN_WORDS = 5
+#: Masks of a length of stretch, at most. The heaviest masks are taken of which so many miss no accepted stretch.
+MASKS = 4
 #: Distinct seeds (8 bytes each) that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_SEEDS = 1_000_000
 
@@ -27,30 +29,62 @@ def _tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: Column, at: Column, short: list[int]) -> Column:
-    """Seeds at a position: one per mask, and one per length of short items; null where the text ends before."""
-
-    def key(name: int, picked: list[int], span: int) -> Column:
-        k = F.xxhash64(F.lit(name), *(F.get(tokens, at + i) for i in picked))
-        return F.when(at + span <= F.size(tokens), k)
-
-    masked = [key(m, [i for i, c in enumerate(mask) if c == "1"], SPAN) for m, mask in enumerate(MASKS)]
-    return F.array(*masked, *(key(100 + n, list(range(n)), n) for n in short))
+def _covering(length: int, changes: int, weight: int) -> list[str]:
+    """Masks of a weight (words at 0 may differ), the fewest that a greedy search finds, of which one fits
+    somewhere into a stretch of ``length`` words wherever ``changes`` of them differ."""
+    patterns = [sum(1 << i for i in p) for p in combinations(range(length), changes)]
+    fits = {}
+    for span in range(weight, length + 1):
+        for inner in combinations(range(1, span - 1), weight - 2):
+            mask = sum(1 << i for i in (0, *inner, span - 1))
+            placed = [mask << at for at in range(length - span + 1)]
+            fits[mask] = sum(1 << j for j, p in enumerate(patterns) if not all(p & m for m in placed))
+    left, masks = (1 << len(patterns)) - 1, []
+    while left:
+        best = max(fits, key=lambda m: ((fits[m] & left).bit_count(), -m))
+        if not fits[best] & left:
+            return []
+        masks.append(f"{best:b}"[::-1])
+        left &= ~fits[best]
+    return masks
+
+
+@lru_cache(maxsize=None)
+def masks_for(length: int) -> tuple[str, ...]:
+    """The masks for stretches of ``length`` words: each stretch that agrees in ``SHARE`` percent has a seed."""
+    changes = length * (100 - SHARE) // 100
+    heaviest: list[str] = []
+    for weight in range(2, length - changes + 1):
+        masks = _covering(length, changes, weight)
+        if not masks or (heaviest and len(masks) > MASKS):
+            break
+        heaviest = masks
+    return tuple(heaviest)
+
+
+def _at_positions(rows: DataFrame, lengths: list[int], own: Column | None = None) -> DataFrame:
+    """A row per position and seed, with the words around; ``own``, if given, is the only length sought."""
+    users: dict[str, list[int]] = {}
+    for n in lengths:
+        for mask in masks_for(n):
+            users.setdefault(mask, []).append(n)
+    at = F.col("at")
 
+    def key(mask: str) -> Column:
+        k = F.xxhash64(F.lit(mask), *(F.get("tokens", at + i) for i, c in enumerate(mask) if c == "1"))
+        fits = at + len(mask) <= F.size("tokens")
+        return F.when(fits if own is None else fits & own.isin(users[mask]), k)
 
-def _at_positions(rows: DataFrame, short: list[int]) -> DataFrame:
-    """A row per position and seed, with the words around."""
-    smallest = min([SPAN, *short])
-    last = F.size("tokens") - smallest
+    last = F.size("tokens") - min(map(len, users), default=1)
     some = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    at = F.col("at")
     placed = rows.withColumn("at", F.explode(some))
-    return placed.withColumn("seed", F.explode(_seeds(F.col("tokens"), at, short))).where("seed is not null")
+    keys = F.array(*map(key, users)).cast("array<long>")
+    return placed.withColumn("seed", F.explode(keys)).where("seed is not null")
 
 
 def _around() -> list[Column]:
     left = F.least(F.col("at"), F.lit(PAD))
-    return [left.alias("left"), F.slice("tokens", F.col("at") - left + 1, left + SPAN + PAD).alias("words")]
+    return [left.alias("left"), F.slice("tokens", F.col("at") - left + 1, left + STRETCH).alias("words")]
 
 
 def _best_stretch() -> Column:
@@ -77,7 +111,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     A hit is a position at which a document and an item have equal words where a mask asks for them. Around
     each hit the words are aligned, and ``STRETCH`` words in a row (all words of a shorter item) must agree in
-    ``SHARE`` percent. ``hits`` counts the confirmed hits, ``best`` the equal words of the best stretch.
+    ``SHARE`` percent. The masks of each length of stretch are such that no stretch that would pass is without a
+    hit. ``hits`` counts the confirmed hits, ``best`` the equal words of the best stretch.
     ``text_key`` is a hash of the text and tells rows with equal or null ids apart.
 
     Items with equal words around a seed are looked up once and stand under their smallest id. Null or empty
@@ -85,10 +120,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), _tokens(kept_text(f"`{item_text}`")).alias("tokens"))
     items = items.withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_WORDS)
-    short = [r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().orderBy("n").limit(SPAN).collect()]
-    regions = _at_positions(items, short).where((F.col("n") >= SPAN) | (F.col("at") == 0)).select("seed", "item", "n", *_around())
+    items = items.withColumn("stretch", F.least(F.col("n"), F.lit(STRETCH)))
+    lengths = [r["stretch"] for r in items.select("stretch").distinct().orderBy("stretch").limit(STRETCH).collect()]
+    regions = _at_positions(items, lengths, F.col("stretch")).select("seed", "item", "stretch", *_around())
     regions = regions.withColumns({"item_left": F.col("left"), "item_words": F.col("words")})
-    regions = regions.withColumn("stretch", F.least(F.col("n"), F.lit(STRETCH)))
     regions = written(
         regions.groupBy("seed", "item_left", "item_words", "stretch").agg(F.min("item").alias("item")), "benchmark-seeds"
     )
@@ -97,7 +132,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         seeds = F.broadcast(seeds)
     t = kept_text(f"`{text}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("text_key"), _tokens(t).alias("tokens"))
-    hits = _at_positions(rows, short).join(seeds, "seed", "left_semi").select("id", "text_key", "seed", *_around())
+    hits = _at_positions(rows, lengths).join(seeds, "seed", "left_semi").select("id", "text_key", "seed", *_around())
     checked = hits.join(regions, "seed").withColumn("best", _best_stretch())
     found = checked.where(100 * F.col("best") >= SHARE * F.col("stretch"))
     return found.groupBy(F.col("id").alias(id_col), "text_key", "item").agg(

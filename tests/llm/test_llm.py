@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -312,6 +313,29 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontamination.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_pattern_of_substitutions(spark):
+    bench, rows, expected = [], [], set()
+    for item, (n, changes) in enumerate([(16, 3), (15, 3), (12, 2), (8, 1), (5, 1)]):
+        text = [f"item{item}word{i}" for i in range(n)]
+        bench.append((item, " ".join(text)))
+        for k in (changes, changes + 1):
+            for at in combinations(range(n), k):
+                doc = len(rows)
+                expected |= {(doc, item)} if k == changes else set()
+                rows.append((doc, "before " + " ".join("other" if i in at else w for i, w in enumerate(text)) + " after", "a"))
+    got = decontamination.overlaps(table(spark, rows), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r["doc_id"], r["item"]) for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize("length", range(decontamination.MIN_WORDS, decontamination.STRETCH + 1))
+def test_masks_miss_no_pattern(length):
+    changes = length - -(-length * decontamination.SHARE // 100)
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontamination.masks_for(length)]
+    assert 0 < len(masks) <= decontamination.MASKS
+    for at in combinations(range(length), changes):
+        assert any(not {p + i for i in m} & set(at) for m in masks for p in range(length - m[-1]))
+
+
 def test_decontamination_by_shuffle_agrees(spark, given, monkeypatch):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     whole = sorted(decontamination.overlaps(given, bench).collect())

@@ -19,13 +19,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of equal rows one."""
-    found = minhash.near_duplicates(docs).where("doc_id <=> component_id")
-    kept = found.select(F.col("doc_id").alias("__id"), "text_key").distinct()
-    # an id that is repeated with several texts of its group stays with one of them
-    kept = kept.groupBy("__id").agg(F.min("text_key").alias("text_key"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(kept_text(docs["text"])) == F.col("text_key"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the smallest id; of equal rows one.
+
+    Texts without words are in no group: each (id, text) of them stays once.
+    """
+    found = minhash.near_duplicates(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    least = found.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.*")
+    alone = found.where("root is null").select("doc_id", "text_key").distinct()
+    kept = least.select("doc_id", "text_key").union(alone).withColumnsRenamed({"doc_id": "__id", "text_key": "__kept"})
+    keyed = docs.withColumn("__key", F.xxhash64(kept_text(docs["text"])))
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

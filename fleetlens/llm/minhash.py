@@ -135,15 +135,17 @@ def _star_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: id, text_key, n_shingles and component_id, the smallest id reachable by links.
+    """One row per row of ``docs``: id, text_key, n_shingles, component_id (the smallest id reachable by links), root.
 
     Documents with equal shingle sets are one node. Nodes with an equal band stand in a bucket. In each bucket
     all are first compared with its centre, which joins most groups of copies in a number of comparisons that is
     linear in their size. Members that the centre leaves apart are then compared with the whole group in
     blocks, so that no link of a bucket is lost. All comparisons are made on the full sets.
 
-    A null or empty text has no shingles and no links. Its component is its own id. Ids may be repeated: equal
-    rows are linked like any others. A null id never names a component unless all ids of it are null. Other
+    ``root`` is the same for all rows of a group and differs between groups, also where ids are null or repeated.
+
+    A null or empty text has no shingles and no links. Its component is its own id, its root null. Ids may be
+    repeated: equal rows are linked like any others. A null id never names a component unless all ids of it are null. Other
     columns are not read. Sets and nodes are told apart by 64-bit hashes.
     """
     signed = written(signatures(docs, id_col, text), "signatures")
@@ -176,8 +178,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = written(named.select("id", "text_key", "n_shingles", "root"), "labelled")
     least = named.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     linked = named.where("n_shingles > 0").join(least, "root")
-    alone = named.where("n_shingles = 0").withColumn("component_id", F.col("id"))
-    columns = [F.col("id").alias(id_col), "text_key", "n_shingles", "component_id"]
+    alone = named.where("n_shingles = 0").withColumns({"component_id": F.col("id"), "root": F.lit(None).cast("long")})
+    columns = [F.col("id").alias(id_col), "text_key", "n_shingles", "component_id", "root"]
     return linked.select(*columns).unionByName(alone.select(*columns))
 
 

@@ -380,3 +380,14 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd):
         assert kept.columns == docs.columns, name
         docs = spark.createDataFrame(kept.collect(), kept.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+
+
+def test_near_duplicate_stage_keeps_unrelated_texts_of_one_id(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(80))
+
+    rows = [(i, text(n), "a") for i, n in [(None, "a"), (None, "b"), (7, "c"), (7, "d"), (7, "d"), (3, "e"), (7, "e"), (None, "e")]]
+    rows += [(None, "", "a"), (8, "", "a"), (8, "", "a"), (8, " ", "a")]
+    kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), DATA)
+    expected = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (3, text("e")), (None, ""), (8, ""), (8, " ")]
+    assert sorted(map(str, expected)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fleetlens.llm import decontamination, minhash, mixing, quality, sharding
 from fleetlens.llm.common import kept_text, written
 
+#: Least similarity of near duplicates in the corpus, in percent.
+NEAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -23,7 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without words are in no group: each (id, text) of them stays once.
     """
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, similarity=NEAR)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     least = found.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.*")
     alone = found.where("root is null").select("doc_id", "text_key").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,10 @@ from fleetlens.llm.graph import components
 from fleetlens.llm.textbytes import constants, mixed, pieces, prefix_hash, span_hash
 
 SHINGLE = 5
-#: Two permutations give a band of four: their minima and maxima. At a similarity of 0.85 a pair agrees in a
-#: band with probability 0.52, and in none of 18 bands with 2 in a million.
-BANDS = 18
-PERMUTATIONS = 2 * BANDS
-#: Least similarity of linked documents, in percent.
+#: Least similarity of linked documents, in percent, unless a caller asks for another.
 SIMILARITY = 85
+#: Chance that a pair of just the least similarity agrees in no band.
+MISSED = 2e-6
 #: A block of a large group has about so many members and shingles at most.
 BLOCK_MEMBERS = 192
 BLOCK_SHINGLES = 1 << 16
@@ -32,8 +31,19 @@ _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _VALUES = constants(7, 256)
 _PLACE = constants(11, SHINGLE)
-_FACTORS = constants(13, PERMUTATIONS)
-_SHIFTS = constants(17, PERMUTATIONS)
+
+
+def n_bands(similarity: int) -> int:
+    """How many bands leave a pair at ``similarity`` percent unseen with a chance of ``MISSED`` at most.
+
+    Two permutations give a band of four: their minima and maxima. A pair agrees in each with the chance of its
+    similarity, so at 0.85 in a band with probability 0.52. 18 bands are needed at 0.85, 25 at 0.8, 204 at 0.5.
+    """
+    if not 0 < similarity <= 100:
+        raise ValueError(f"similarity is in percent, above 0: {similarity}")
+    if similarity == 100:
+        return 1
+    return math.ceil(math.log(MISSED) / math.log1p(-((similarity / 100) ** 4)))
 
 
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -66,33 +76,34 @@ def _shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]
             yield whole[:0]
 
 
-def _bands(s: np.ndarray) -> np.ndarray:
+def _bands(s: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """Band hashes of a set: of minimum and maximum under each two permutations."""
-    low = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
-    high = np.zeros(PERMUTATIONS, np.uint64)
+    low = np.full(len(factors), 2**64 - 1, np.uint64)
+    high = np.zeros(len(factors), np.uint64)
     for i in range(0, len(s), _CHUNK):
-        h = s[None, i : i + _CHUNK] * _FACTORS[:, None] + _SHIFTS[:, None]
+        h = s[None, i : i + _CHUNK] * factors[:, None] + shifts[:, None]
         np.minimum(low, h.min(axis=1), out=low)
         np.maximum(high, h.max(axis=1), out=high)
     rows = np.stack([low[0::2], high[0::2], low[1::2], high[1::2]])
-    total = np.arange(BANDS, dtype=np.uint64) + np.uint64(101)
+    total = np.arange(len(factors) // 2, dtype=np.uint64) + np.uint64(101)
     for r in rows:
         total = mixed(total + r)
     return total
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+    factors, shifts = constants(13, 2 * count), constants(17, 2 * count)
     for batch in batches:
         sizes, keys = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.uint64)
-        bands = np.zeros((len(batch), BANDS), np.uint64)
+        bands = np.zeros((len(batch), count), np.uint64)
         for first, _, data, offsets in pieces(batch.column("text")):
             for i, s in enumerate(_shingle_sets(data, offsets), first):
                 sizes[i], keys[i] = len(s), mixed(s).sum()
                 if len(s):
-                    bands[i] = _bands(s)
+                    bands[i] = _bands(s, factors, shifts)
         kept = [batch.column(i) for i in range(batch.num_columns - 1)]
         columns = [*kept, pa.array(sizes), pa.array(keys.view(np.int64)), *(pa.array(b.view(np.int64)) for b in bands.T.copy())]
-        names = [*batch.schema.names[:-1], "n_shingles", "k", *(f"b{i}" for i in range(BANDS))]
+        names = [*batch.schema.names[:-1], "n_shingles", "k", *(f"b{i}" for i in range(count))]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -106,13 +117,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("k").slice(first, last - first), lists], ["k", "shingles"])
 
 
-def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text: str, similarity: int) -> DataFrame:
     """One row per row of ``docs``: id, text_key, n_shingles, k (a hash of the shingle set), b0, b1, ..."""
     t = kept_text(f"`{text}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("text_key"), t.alias("text"))
     kind = dict(rows.dtypes)["id"]
-    bands = ", ".join(f"b{i} long" for i in range(BANDS))
-    return rows.mapInArrow(_signatures, f"id {kind}, text_key long, n_shingles long, k long, {bands}")
+    count = n_bands(similarity)
+    bands = ", ".join(f"b{i} long" for i in range(count))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _signatures(batches, count)
+
+    return rows.mapInArrow(signed, f"id {kind}, text_key long, n_shingles long, k long, {bands}")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -148,8 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     repeated: equal rows are linked like any others. A null id never names a component unless all ids of it are null. Other
     columns are not read. Sets and nodes are told apart by 64-bit hashes.
     """
-    signed = written(signatures(docs, id_col, text), "signatures")
-    bands = [f"b{i}" for i in range(BANDS)]
+    signed = written(signatures(docs, id_col, text, similarity), "signatures")
+    bands = [f"b{i}" for i in range(n_bands(similarity))]
     nodes = signed.where("n_shingles > 0").groupBy("k").agg(
         F.min("n_shingles").alias("n_shingles"), *(F.min(b).alias(b) for b in bands)
     )

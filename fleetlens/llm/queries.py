@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from fleetlens.llm import decontamination, language, minhash, mixing, pii, quality, sharding, suffix_dedup, toxicity, urls
 
 
+#: Least similarity of near duplicates that op7_minhash is asked for, in percent.
+OP7_SIMILARITY = 85
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,7 +73,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), similarity=OP7_SIMILARITY)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 

@@ -391,3 +391,21 @@ def test_near_duplicate_stage_keeps_unrelated_texts_of_one_id(spark):
     kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), DATA)
     expected = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (3, text("e")), (None, ""), (8, ""), (8, " ")]
     assert sorted(map(str, expected)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+
+
+def test_near_duplicate_stage_takes_four_fifths_as_near(spark):
+    base = [f"w{i}" for i in range(204)]
+    rows = [(1, " ".join(base), "a")]
+    for i, changed in [(2, 20), (3, 30)]:  # similarities of 180 in 220 (0.82) and, to each of the others, less than 0.8
+        text = [f"n{i}x{j}" for j in range(changed)] + base[changed:]
+        rows.append((i, " ".join(text), "a"))
+    kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), DATA).collect()
+    assert {r["doc_id"] for r in kept} == {1, 3}
+    strict = minhash.near_duplicates(table(spark, rows), similarity=85).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in strict)
+
+
+def test_bands_follow_the_similarity():
+    assert [minhash.n_bands(s) for s in (100, 85, 80, 50)] == [1, 18, 25, 204]
+    for s in (85, 80, 60, 50, 30):
+        assert (1 - (s / 100) ** 4) ** minhash.n_bands(s) <= minhash.MISSED

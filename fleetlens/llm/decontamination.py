@@ -106,27 +106,19 @@ def _best_stretch() -> Column:
     return F.transform(F.array(equal), best)[0]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per overlap of a document with a benchmark item: id, ``text_key``, item, hits, best, stretch.
-
-    A hit is a position at which a document and an item have equal words where a mask asks for them. Around
-    each hit the words are aligned, and ``STRETCH`` words in a row (all words of a shorter item) must agree in
-    ``SHARE`` percent. The masks of each length of stretch are such that no stretch that would pass is without a
-    hit. ``hits`` counts the confirmed hits, ``best`` the equal words of the best stretch.
-    ``text_key`` is a hash of the text and tells rows with equal or null ids apart.
-
-    Items with equal words around a seed are looked up once and stand under their smallest id. Null or empty
-    texts and items below ``MIN_WORDS`` have no overlaps. Equal rows give one row. Other columns are not read.
-    """
+def _confirmed(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Regions of the benchmark that documents overlap (id, text_key, region, hits, best, stretch), and the items
+    (region, item) that have them."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), _tokens(kept_text(f"`{item_text}`")).alias("tokens"))
     items = items.withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_WORDS)
     items = items.withColumn("stretch", F.least(F.col("n"), F.lit(STRETCH)))
     lengths = [r["stretch"] for r in items.select("stretch").distinct().orderBy("stretch").limit(STRETCH).collect()]
     regions = _at_positions(items, lengths, F.col("stretch")).select("seed", "item", "stretch", *_around())
     regions = regions.withColumns({"item_left": F.col("left"), "item_words": F.col("words")})
-    regions = written(
-        regions.groupBy("seed", "item_left", "item_words", "stretch").agg(F.min("item").alias("item")), "benchmark-seeds"
-    )
+    region = F.xxhash64("seed", "item_left", "item_words", "stretch")
+    regions = regions.select(region.alias("region"), "item", "seed", "item_left", "item_words", "stretch")
+    members = written(regions.select("region", "item").distinct(), "benchmark-members")
+    regions = written(regions.drop("item").dropDuplicates(["region"]), "benchmark-seeds")
     seeds = regions.select("seed").distinct()
     if seeds.count() <= MAX_BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
@@ -135,13 +127,32 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     hits = _at_positions(rows, lengths).join(seeds, "seed", "left_semi").select("id", "text_key", "seed", *_around())
     checked = hits.join(regions, "seed").withColumn("best", _best_stretch())
     found = checked.where(100 * F.col("best") >= SHARE * F.col("stretch"))
-    return found.groupBy(F.col("id").alias(id_col), "text_key", "item").agg(
+    found = found.groupBy("id", "text_key", "region").agg(
         F.count("*").alias("hits"), F.max("best").alias("best"), F.max("stretch").alias("stretch")
     )
+    return found, members
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per overlap of a document with a benchmark item: id, ``text_key``, item, hits, best, stretch.
+
+    A hit is a position at which a document and an item have equal words where a mask asks for them. Around
+    each hit the words are aligned, and ``STRETCH`` words in a row (all words of a shorter item) must agree in
+    ``SHARE`` percent. The masks of each length of stretch are such that no stretch that would pass is without a
+    hit. ``hits`` counts the confirmed hits, ``best`` the equal words of the best stretch.
+    ``text_key`` is a hash of the text and tells rows with equal or null ids apart.
+
+    Words around a seed that items share are looked up once and count for each of these items. Null or empty
+    texts and items below ``MIN_WORDS`` have no overlaps. Equal rows give one row. Other columns are not read.
+    """
+    found, members = _confirmed(docs, benchmark, id_col, text, item_id, item_text)
+    return found.join(members, "region").groupBy(F.col("id").alias(id_col), "text_key", "item").agg(
+        F.sum("hits").alias("hits"), F.max("best").alias("best"), F.max("stretch").alias("stretch")
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, with their columns unchanged."""
-    found = overlaps(docs, benchmark, id_col, text, **settings).select(F.col(id_col).alias("__id"), "text_key").distinct()
+    found = _confirmed(docs, benchmark, id_col, text, **settings)[0].select(F.col("id").alias("__id"), "text_key").distinct()
     same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(kept_text(docs[text])) == F.col("text_key"))
     return docs.join(found, same, "left_anti")

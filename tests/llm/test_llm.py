@@ -327,6 +327,17 @@ def test_decontamination_finds_every_pattern_of_substitutions(spark):
     assert {(r["doc_id"], r["item"]) for r in got.collect()} == expected
 
 
+def test_decontamination_reports_every_item_that_shares_a_passage(spark):
+    context = " ".join(f"context{i}" for i in range(80))
+    bench = [(i, f"{context} question{i} number {i}") for i in (1, 2, 3)] + [(4, f"{context} question1 number 1"), (5, "an item of its own " * 4)]
+    inside = " ".join(context.split(" ")[25:55])
+    docs = table(spark, [(10, f"before {inside} after", "a"), (11, "clean " * 40, "a")])
+    got = decontamination.overlaps(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item"]) for r in got) == [(10, i) for i in (1, 2, 3, 4)]
+    assert len({(r["hits"], r["best"]) for r in got}) == 1
+    assert {r["doc_id"] for r in decontamination.clean(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()} == {11}
+
+
 @pytest.mark.parametrize("length", range(decontamination.MIN_WORDS, decontamination.STRETCH + 1))
 def test_masks_miss_no_pattern(length):
     changes = length - -(-length * decontamination.SHARE // 100)

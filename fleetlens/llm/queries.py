@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontamination, language, minhash, mixing, pii, quality, sharding, suffix_dedup, toxicity, urls
+from fleetlens.llm import (
+    decontamination,
+    hard_negatives,
+    importance,
+    language,
+    main_text,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    suffix_dedup,
+    toxicity,
+    urls,
+)
 
 
 #: Least similarity of near duplicates that op7_minhash is asked for, in percent.
@@ -95,6 +109,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("item").alias("item_id"), "hits", "best", "stretch")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance.resampled(docs, benchmark, ["doc_id"]).select("doc.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "pages").select("page_id", "url", main_text.main_text(F.col("html")).alias("main"))
+    return found.select("page_id", "url", "main.text", "main.n_chars")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
@@ -108,8 +137,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_toxicity,
         op10_decontamination,
+        op11_importance,
+        op12_main_text,
+        op13_hard_negatives,
     ]
 }
 
 #: The same results as SQL over the given tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_hard_negatives": """
+        WITH whole AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                   CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        positive AS (
+            SELECT * FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INT) AS rank,
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+         AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3""",
+}

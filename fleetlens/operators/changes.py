@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.clock import AsOf, moment, type_of
 from fleetlens.functions.labels import UNKNOWN
-from fleetlens.operators.ordering import first_rows_per_key, time_and_id, with_positions
+from fleetlens.operators.ordering import first_rows_per_key, positions_by_range, time_and_id, with_positions
 from fleetlens.session import settled
 
 ID_BUCKETS = 1024
 SCANNED = ["hostname", "device_type", "os_name", "os_family", "mac_address", "status", "open_ports"]
 
 
+def _last_id(existing: DataFrame) -> Column:
+    return F.coalesce(existing.agg(F.max("id").alias("v")).scalar(), F.lit(0)).cast("bigint")
+
+
 def assign_ids(new: DataFrame, existing: DataFrame, coarse: Column, fine: Column, order: list[Column]) -> DataFrame:
     """``new`` with an ``id`` following the largest existing one, in the order given.
 
@@ -24,9 +28,8 @@ def assign_ids(new: DataFrame, existing: DataFrame, coarse: Column, fine: Column
     the job or a task is repeated.
     """
     columns = new.columns
-    start = F.coalesce(existing.agg(F.max("id").alias("v")).scalar(), F.lit(0)).cast("bigint")
     placed = with_positions(new, coarse, fine, order)
-    return placed.select((start + F.col("position")).cast("bigint").alias("id"), *columns)
+    return placed.select((_last_id(existing) + F.col("position")).cast("bigint").alias("id"), *columns)
 
 
 def assign_device_ids(new: DataFrame, devices: DataFrame) -> DataFrame:
@@ -42,12 +45,14 @@ def assign_device_ids(new: DataFrame, devices: DataFrame) -> DataFrame:
 def with_new_ids(new: DataFrame, existing: DataFrame, time: str | None = None) -> DataFrame:
     """Ids for rows of any table, such as alerts or audit rows; equal content always gets the same numbers.
 
-    With a ``time`` column ids follow it, then the other columns; rows are numbered within the minute. Without one
-    they follow no particular order, and rows are numbered within buckets of their hash.
+    With a ``time`` column ids follow it, then the other columns; rows are numbered within ranges of that order, so
+    an outage that raises all alerts in one moment is split too. Without one they follow no particular order, and
+    rows are numbered within buckets of their hash.
     """
     content = [F.col(c) for c in new.columns if c != time]
     if time:
-        return assign_ids(new, existing, F.date_trunc("day", time), F.date_trunc("minute", time), [F.col(time), *content])
+        placed = positions_by_range(settled(new), [F.col(time), *content])
+        return placed.select((_last_id(existing) + F.col("position")).cast("bigint").alias("id"), *new.columns)
     coarse = F.pmod(F.xxhash64(*content), F.lit(ID_BUCKETS))
     fine = F.pmod(F.xxhash64(F.lit("fine"), *content), F.lit(ID_BUCKETS))
     return assign_ids(new, existing, coarse, fine, content)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.session import settled
+
 SALTS = 64
 #: More than the distance of any two 64-bit ids.
 ID_SPAN = 2 * 10**19
@@ -76,3 +78,24 @@ def with_positions(df: DataFrame, coarse: Column, fine: Column, order: list[Colu
     numbered = tagged.withColumn("_nth", F.row_number().over(within)).join(offsets, ["_coarse", "_fine"])
     position = (F.col("before") + F.col("_skip") + F.col("_nth")).alias("position")
     return numbered.select(*columns, position, "before", "total")
+
+
+def positions_by_range(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``position`` (from 1) in a total order that has no natural buckets.
+
+    Spark samples the order for borders, each task sorts one range, and the sizes of the ranges before give its offset.
+    Rows that are equal in the whole order are told apart by where they come from, so that a group of them may be
+    split; they are interchangeable. Pass a frame that gives the same rows in the same places when it is read again,
+    such as a settled one. Starts a job.
+    """
+    columns = df.columns
+    by = [*order, F.col("_tie")]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    # the lower 33 bits of the running number count the rows of a partition
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = settled(ranged.select(*columns, F.spark_partition_id().alias("_part"), at.alias("_at")))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    position = (F.col("_start") + F.col("_at") + 1).alias("position")
+    return placed.join(F.broadcast(starts), "_part").select(*columns, position)  # one row of starts per partition

@@ -53,14 +53,19 @@ def bucket_of(position: Column, total: Column, buckets: int) -> Column:
 
 
 def uptime_ranking(devices: DataFrame, uptime: DataFrame) -> DataFrame:
-    """Checked devices ranked by uptime over all time, with quartile and band.
+    """Checked devices ranked by uptime over all time, with quartile and band; see ``ranking_of_sums``."""
+    return ranking_of_sums(devices, check_sums(uptime, "device_id"))
+
+
+def ranking_of_sums(devices: DataFrame, sums: DataFrame) -> DataFrame:
+    """The ranking from sums of checks, one row per device, whatever they were added up from.
 
     Rank and quartile follow the percentage rounded to a tenth; ties share a rank, and break by device
     id for the quartile. At most 1,001 percentages exist, so the histogram of (percentage, id range)
     gives every device its place without one task seeing all devices, nor all devices at 100 %. The
     scored devices are settled, so checks and devices are scanned once.
     """
-    checked = check_sums(uptime, "device_id").withColumnRenamed("device_id", "id")
+    checked = sums.withColumnRenamed("device_id", "id")
     named = devices.select("id", "ip_address", "hostname", "device_type", "department").join(checked, "id")
     scored = named.withColumn("tenths", percent_tenths(F.col("online_checks"), F.col("total_checks")))
     id_range = F.call_function("div", F.col("id"), F.lit(IDS_PER_BUCKET))

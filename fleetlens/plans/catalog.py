@@ -5,24 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions import rules
 from fleetlens.functions.clock import days_before, type_of
 from fleetlens.operators import alerts as alert_ops
-from fleetlens.operators import audit, changes, flips, listing, metrics, ranking, scans, sessions
+from fleetlens.operators import audit, changes, flips, listing, metrics, ranking, scans, sessions, uptime_days
 from fleetlens.plans.dashboard import dashboard_stats
 from fleetlens.session import scratch_dir, settled
 from fleetlens.sources import constraints, exports, tables
 from fleetlens.sources.derived import AS_OF_EVENTS, AS_OF_ORDERS, GIVEN, Fleet, alerts_of, checks_of
-from fleetlens.streaming import monitor, probes
+from fleetlens.streaming import feeds, monitor, probes
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Parts in which checks arrive at the monitoring loop, and files of a part that go into one batch.
 PARTS = 4
 EVERY_FILE = 2**31 - 1
+#: Response times from which a check comes in late.
+SLOW_MS, SLOWEST_MS = 30, 60
 
 
 def plain_times(df: DataFrame) -> DataFrame:
@@ -42,6 +44,56 @@ def load_table(f: Fleet) -> DataFrame:
     return plain_times(tables.load_table(f.spark, path, "uptime_log"))
 
 
+def load_since(f: Fleet) -> DataFrame:
+    """Checks of the last week from a table stored by day; earlier days are not read."""
+    path = scratch_dir(f.spark, "uptime_log")
+    tables.append_table(f.uptime_log, path, "uptime_log", AS_OF_EVENTS, by_day=True)
+    return plain_times(tables.load_table(f.spark, path, "uptime_log", since="2024-01-24 00:00:00"))
+
+
+def load_csv(f: Fleet) -> DataFrame:
+    """All alerts from CSV files with the fixed schema."""
+    path = scratch_dir(f.spark, "alerts-csv")
+    f.alerts.write.option("header", True).csv(path)
+    return plain_times(tables.load_table(f.spark, path, "alerts", fmt="csv"))
+
+
+def written_host_scan(f: Fleet) -> str:
+    """The nested scan as JSON lines; what hosts without a name sent was cut off half way."""
+    path = scratch_dir(f.spark, "host-scan")
+    line = F.to_json(F.struct(*f.host_scan.columns))
+    cut = F.substring(line, F.lit(1), F.length(line).cast("int") - F.lit(20))
+    f.host_scan.select(F.when(F.col("hostname").isNull(), cut).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+def load_host_scan(f: Fleet) -> DataFrame:
+    return scans.flatten_scan(tables.load_host_scan(f.spark, written_host_scan(f)))
+
+
+def host_scan_rejects(f: Fleet) -> DataFrame:
+    """Addresses in the lines that could not be read, with the reason."""
+    address = F.regexp_extract("line", '"ip_address":"([^"]*)"', 1).alias("ip_address")
+    return tables.host_scan_rejects(f.spark, written_host_scan(f)).select(address, "reason")
+
+
+def append_repeated(f: Fleet) -> DataFrame:
+    """Old alerts, then those of all status changes, each appended twice under the name of its batch."""
+    path = scratch_dir(f.spark, "alerts")
+    found = settled(alert_ops.alert_rows(flips.status_flips(f.uptime_log), f.devices))
+    fresh = settled(changes.with_new_ids(found, f.alerts, "created_at"))
+    for rows, batch in ((f.alerts, "old"), (fresh, "changes"), (fresh, "changes"), (f.alerts, "old")):
+        tables.append_table(rows, path, "alerts", AS_OF_EVENTS, batch=batch)
+    return plain_times(tables.load_table(f.spark, path, "alerts"))
+
+
+def export_csv(f: Fleet) -> DataFrame:
+    """The inventory as CSV, read back with the place of each row."""
+    path = scratch_dir(f.spark, "inventory-csv")
+    exports.export_inventory_csv(f.devices, path)
+    return exports.load_inventory_csv(f.spark, path)
+
+
 def append_table(f: Fleet) -> DataFrame:
     """Alerts of all status changes, given new ids, appended to a table stored by day and read back."""
     path = scratch_dir(f.spark, "alerts")
@@ -55,8 +107,7 @@ def audit_constraints(f: Fleet) -> DataFrame:
     """The rules of all tables, as if offline devices and inactive users had been deleted without their rows."""
     parents = {"devices": f.devices.filter("status <> 'offline'"), "users": f.users.filter("is_active")}
     names = ("devices", "scan_history", "alerts", "uptime_log", "users", "sessions", "audit_logs")
-    reports = [constraints.audit_constraints(getattr(f, t), t, parents) for t in names]
-    return reduce(DataFrame.unionByName, reports)
+    return constraints.audit_tables({t: getattr(f, t) for t in names}, parents)
 
 
 def fill_defaults(f: Fleet) -> DataFrame:
@@ -97,6 +148,38 @@ def typed_by_ports(f: Fleet) -> DataFrame:
     return f.devices.select("id", "hostname", "ip_address", kind.alias("device_type"))
 
 
+def typed_in_sql(f: Fleet) -> DataFrame:
+    """Both text rules, called by name in SQL."""
+    rules.register_sql_functions(f.spark)
+    query = """SELECT id, os_family(os_name) AS os_family, device_type_basic(hostname, ip_address) AS device_type
+               FROM {devices}"""
+    return f.spark.sql(query, devices=f.devices)
+
+
+# Rankings from stored sums
+
+
+def ranking_of_days(f: Fleet) -> DataFrame:
+    """The ranking from daily sums that were kept up week by week as checks came in, late ones and a repeat included."""
+    path = scratch_dir(f.spark, "uptime-days")
+    arrived = settled(f.uptime_log.withColumn("week", week_of(arrival())))
+    weeks = [r["week"] for r in arrived.select("week").distinct().orderBy("week").collect()]
+    for week in [*weeks, *weeks[:1]]:
+        uptime_days.add_increment(arrived.filter(F.col("week") == F.lit(week)), path, str(week))
+    return uptime_days.ranking_of_days(f.devices, uptime_days.stored_days(f.spark, path))
+
+
+def arrival() -> Column:
+    """When a check comes in: a slow one half an hour later, the slowest after ten days."""
+    slow, at = F.col("response_ms"), F.col("checked_at")
+    delayed = F.when(slow >= SLOWEST_MS, at + F.expr("INTERVAL 10 DAYS")).when(slow >= SLOW_MS, at + F.expr("INTERVAL 30 MINUTES"))
+    return delayed.otherwise(at)
+
+
+def week_of(moment: Column) -> Column:
+    return F.date_trunc("week", moment).cast("date")
+
+
 # Changes
 
 
@@ -235,12 +318,68 @@ def monitored(f: Fleet) -> str:
     return f"{folder}/rows"
 
 
+def monitor_status(f: Fleet) -> DataFrame:
+    return monitor.monitored_devices(f.spark, monitored(f)).select("id", "status", "last_seen")
+
+
+def in_weeks(f: Fleet, rows: DataFrame, arrived: Column, stream_of: Callable[[DataFrame], DataFrame], purpose: str) -> tuple[DataFrame, list]:
+    """What a stream appends while rows come in week by week, and what its micro-batches report."""
+    folder = scratch_dir(f.spark, purpose)
+    probes.use_rocksdb(f.spark)
+    feed = feeds.written_in_parts(rows, week_of(arrived), folder)
+    stream = stream_of(feed.stream())
+    query = probes.write_stream(stream, f"{folder}/rows", f"{folder}/checkpoint", available_now=True)
+    query.awaitTermination()
+    return plain_times(f.spark.read.schema(stream.schema).parquet(f"{folder}/rows")), feed.reports(query)
+
+
+def stream_flips(f: Fleet) -> DataFrame:
+    """Status changes by state of each device, over micro-batches of a week."""
+    found, _ = in_weeks(f, zoned(f.uptime_log, "checked_at"), F.col("checked_at"), probes.flip_stream, "flips")
+    return found.drop("ignored_checks")
+
+
 def stream_alerts(f: Fleet) -> DataFrame:
-    return plain_times(monitor.monitored_alerts(f.spark, monitored(f)))
+    """Alerts made in the running stream, whose changes meet the inventory there."""
+    devices = settled(f.devices.select("id", "ip_address", "hostname", "device_type"))
+
+    def alerts_in(stream: DataFrame) -> DataFrame:
+        return alert_ops.alert_rows(probes.flip_stream(stream), devices)
+
+    return in_weeks(f, zoned(f.uptime_log, "checked_at"), F.col("checked_at"), alerts_in, "alerts")[0]
 
 
 def stream_status(f: Fleet) -> DataFrame:
-    return monitor.monitored_devices(f.spark, monitored(f)).select("id", "status", "last_seen")
+    """The inventory after the current status of every device, which a stream in update mode keeps."""
+    folder = scratch_dir(f.spark, "status")
+    probes.use_rocksdb(f.spark)
+    checks = zoned(f.uptime_log, "checked_at")
+    status = probes.current_status(feeds.written_in_parts(checks, week_of(F.col("checked_at")), folder).stream())
+    probes.write_updates(status, f"{folder}/rows", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    newest = probes.newest_updates(f.spark, f"{folder}/rows", status.schema, ["device_id"])
+    return changes.apply_newest_status(f.devices, newest).select("id", "status", "last_seen")
+
+
+def stream_sliding_uptime(f: Fleet) -> DataFrame:
+    """Seven days of every device, moved on by a day: sums of days, then of windows, both in the stream's state."""
+    return in_weeks(f, zoned(f.uptime_log, "checked_at"), F.col("checked_at"), probes.sliding_uptime, "sliding-uptime")[0]
+
+
+def late_feed(f: Fleet) -> DataFrame:
+    """Checks as they come in: slow ones late, offline ones once more after two days."""
+    first = f.uptime_log.withColumn("arrived_at", arrival())
+    again = first.filter(~F.col("is_online")).withColumn("arrived_at", F.col("arrived_at") + F.expr("INTERVAL 2 DAYS"))
+    return zoned(first.unionByName(again), "checked_at")
+
+
+def late_days(f: Fleet) -> tuple[DataFrame, list]:
+    return in_weeks(f, late_feed(f), F.col("arrived_at"), probes.daily_uptime_in_time, "days-in-time")
+
+
+def stream_late_checks(f: Fleet) -> DataFrame:
+    """Per week of arrival how many checks came in and how many of them were left out as too late."""
+    rows = [(week, report["numInputRows"], feeds.late_rows(report)) for week, report in late_days(f)[1]]
+    return f.spark.createDataFrame(rows, "week date, n_checks bigint, n_late bigint")
 
 
 CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
@@ -288,6 +427,7 @@ CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
     "os_family": lambda f: f.devices.select("id", "os_name", rules.os_family(F.col("os_name")).alias("os_family")),
     "device_type_basic": typed_by_name,
     "device_type_advanced": typed_by_ports,
+    "typed_in_sql": typed_in_sql,
     "flatten_scan": lambda f: scans.flatten_scan(f.host_scan),
     "flatten_scan_quick": lambda f: scans.flatten_scan(f.host_scan, detailed=False),
     "scan_summary": lambda f: scans.scan_summary(f.host_scan),
@@ -325,13 +465,27 @@ CATALOG: dict[str, Callable[[Fleet], DataFrame]] = {
     "inventory_report": lambda f: exports.inventory_report(f.devices),
     "json_rows": lambda f: exports.to_json_rows(f.audit_logs.select(listing.AUDIT_COLUMNS)),
     "table_counts": table_counts,
+    "load_since": load_since,
+    "load_csv": load_csv,
+    "load_host_scan": load_host_scan,
+    "host_scan_rejects": host_scan_rejects,
+    "append_repeated": append_repeated,
+    "export_csv": export_csv,
+    # sums kept up by increments
+    "ranking_of_days": ranking_of_days,
     # streams
     "stream_log": lambda f: stored(f, streamed_checks(f), "log"),
-    "stream_flips": lambda f: plain_times(monitor.monitored_flips(f.spark, monitored(f))),
+    "stream_flips": stream_flips,
     "stream_alerts": stream_alerts,
     "stream_status": stream_status,
     "stream_daily_uptime": lambda f: plain_times(streamed_days(f)),
-    "stream_sliding_uptime": lambda f: plain_times(probes.sliding_of_days(streamed_days(f))),
+    "stream_sliding_uptime": stream_sliding_uptime,
+    "stream_days_in_time": lambda f: late_days(f)[0],
+    "stream_late_checks": stream_late_checks,
+    "sliding_uptime": lambda f: plain_times(probes.sliding_of_days(probes.daily_uptime(f.uptime_log))),
+    "monitor_flips": lambda f: plain_times(monitor.monitored_flips(f.spark, monitored(f))),
+    "monitor_alerts": lambda f: plain_times(monitor.monitored_alerts(f.spark, monitored(f))),
+    "monitor_status": monitor_status,
     "stream_daily_alerts": lambda f: plain_times(streamed_alert_days(f)),
 }
 

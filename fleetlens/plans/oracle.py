@@ -174,6 +174,20 @@ VIEWS = {
                        WHEN list_contains(ports, 3389) THEN 'Laptop'
                        ELSE basic END AS advanced
         FROM classified""",
+    "arrived": """
+        SELECT *, checked_at + CASE WHEN response_ms >= 60 THEN INTERVAL 240 HOUR WHEN response_ms >= 30 THEN INTERVAL 30 MINUTE
+                                    ELSE INTERVAL 0 HOUR END AS arrived_at
+        FROM uptime_log""",
+    "late_feed": """
+        SELECT *, CAST(date_trunc('week', arrived_at) AS DATE) AS week FROM arrived
+        UNION ALL
+        SELECT *, CAST(date_trunc('week', arrived_at + INTERVAL 48 HOUR) AS DATE) FROM arrived WHERE NOT is_online""",
+    "marks": """
+        SELECT week, date_trunc('millisecond', max(newest) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING))
+                     - INTERVAL 1 HOUR AS mark
+        FROM (SELECT week, max(checked_at) AS newest FROM late_feed GROUP BY week) x""",
+    "last_mark": """
+        SELECT date_trunc('millisecond', max(checked_at)) - INTERVAL 1 HOUR AS mark FROM uptime_log""",
 }
 
 EVENTS_NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -289,6 +303,25 @@ def _windows(length_days: int) -> str:
 QUERIES = {
     # Sources and sinks
     "load_table": "SELECT * FROM uptime_log",
+    "load_since": "SELECT * FROM uptime_log WHERE checked_at >= TIMESTAMP '2024-01-24 00:00:00'",
+    "load_csv": "SELECT * FROM alerts",
+    "load_host_scan": """
+        SELECT CAST(string_split(ip_address, '.')[2] AS BIGINT) AS scan_id, id AS seq, ip_address, hostname,
+               advanced AS device_type, os_name, family AS os_family, mac_address, 'online' AS status,
+               nullif(array_to_string(ports, ','), '') AS open_ports
+        FROM typed WHERE status <> 'offline' AND hostname IS NOT NULL""",
+    "host_scan_rejects": "SELECT ip_address, 'not readable' AS reason FROM devices WHERE hostname IS NULL",
+    "append_repeated": """
+        SELECT * FROM alerts
+        UNION ALL
+        SELECT (SELECT max(id) FROM alerts) + row_number() OVER (ORDER BY created_at, device_id, alert_type, message) AS id,
+               device_id, alert_type, message, severity, is_read, created_at
+        FROM alert_rows""",
+    "export_csv": f"""
+        SELECT {EXPORT_FIELDS},
+               row_number() OVER (ORDER BY CASE devices.status WHEN 'online' THEN 1 WHEN 'offline' THEN 2 ELSE 3 END, ip_address)
+                   AS place
+        FROM devices""",
     "append_table": f"""
         SELECT (SELECT max(id) FROM alerts) + row_number() OVER (ORDER BY created_at, device_id, alert_type, message) AS id,
                device_id, alert_type, message, severity, is_read, created_at
@@ -471,6 +504,7 @@ QUERIES = {
     # Rules and scans
     "os_family": "SELECT id, os_name, family AS os_family FROM classified",
     "device_type_basic": "SELECT id, hostname, ip_address, basic AS device_type FROM classified",
+    "typed_in_sql": "SELECT id, family AS os_family, basic AS device_type FROM classified",
     "device_type_advanced": "SELECT id, hostname, ip_address, advanced AS device_type FROM typed",
     "flatten_scan": """
         SELECT CAST(string_split(ip_address, '.')[2] AS BIGINT) AS scan_id, id AS seq, ip_address, hostname,
@@ -626,13 +660,38 @@ QUERIES = {
         LEFT JOIN (SELECT device_id, max(checked_at) AS online_at FROM uptime_log WHERE is_online GROUP BY device_id) o
                ON o.device_id = d.id""",
     "stream_daily_uptime": _windows(1),
-    "stream_sliding_uptime": _windows(7),
+    "stream_sliding_uptime": f"""
+        SELECT * FROM ({_windows(7)}) w WHERE window_end <= (SELECT mark FROM last_mark)""",
+    "sliding_uptime": _windows(7),
+    "stream_days_in_time": f"""
+        WITH timely AS (
+            SELECT DISTINCT id, device_id, checked_at, is_online FROM late_feed JOIN marks USING (week)
+            WHERE mark IS NULL OR checked_at > mark),
+        per_day AS (
+            SELECT device_id, date_trunc('day', checked_at) AS window_start, count(*) AS total_checks,
+                   CAST(sum(CASE WHEN is_online THEN 1 ELSE 0 END) AS BIGINT) AS online_checks
+            FROM timely GROUP BY 1, 2)
+        SELECT device_id, CAST(window_start AS TIMESTAMP) AS window_start,
+               CAST(window_start + INTERVAL 1 DAY AS TIMESTAMP) AS window_end, total_checks, online_checks,
+               {pct('online_checks', 'total_checks')} AS uptime_pct
+        FROM per_day WHERE window_start + INTERVAL 1 DAY <= (SELECT mark FROM last_mark)""",
+    "stream_late_checks": """
+        SELECT week, count(*) AS n_checks, count(*) FILTER (checked_at <= mark) AS n_late
+        FROM late_feed JOIN marks USING (week) GROUP BY week""",
     "stream_daily_alerts": """
         SELECT date_trunc('day', created_at) AS window_start, alert_type, severity, count(*) AS n_alerts
         FROM alerts
         GROUP BY 1, 2, 3""",
 }
 
+# The monitoring loop gives what the streams do; a ranking from stored sums what the ranking from checks does.
+QUERIES |= {
+    "monitor_flips": QUERIES["stream_flips"],
+    "monitor_alerts": QUERIES["stream_alerts"],
+    "monitor_status": QUERIES["stream_status"],
+    "ranking_of_days": QUERIES["uptime_ranking"],
+}
+
 
 def _needed(sql: str) -> list[str]:
     """The derived tables a text reads, directly or not, in the order of definition."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import print_timestamps
 from fleetlens.operators.listing import in_listing_order
+from fleetlens.session import settled
 
 # Export columns with their report headings, row colours by status.
 EXPORT_COLUMNS = [
@@ -25,6 +26,8 @@ EXPORT_COLUMNS = [
     ("last_seen", "Last Seen"),
     ("notes", "Notes"),
 ]
+EXPORT_SCHEMA = ", ".join(f"{c} {'bigint' if c == 'id' else 'string'}" for c, _ in EXPORT_COLUMNS)
+EMPTY = "\x01"
 ROW_COLOURS = {"online": "d1fae5", "offline": "fee2e2"}
 
 
@@ -38,6 +41,25 @@ def export_inventory_csv(devices: DataFrame, path: str) -> None:
     inventory_export(devices).write.mode("overwrite").option("header", True).csv(path)
 
 
+def load_inventory_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an exported inventory, and the ``place`` (from 1) that each has in it.
+
+    Places come from the names of the files, where in a file a block starts, and the row's number in its block; blocks
+    are read in parallel, and only their sizes are put in order.
+    """
+    # an empty text stands there in quotes, a NULL as nothing: the reader is told to keep them apart
+    lines = spark.read.schema(EXPORT_SCHEMA).options(header=True, emptyValue=EMPTY).csv(path)
+    lines = lines.withColumns({c: F.when(F.col(c) == EMPTY, "").otherwise(F.col(c)) for c, _ in EXPORT_COLUMNS if c != "id"})
+    source = {"_file": F.col("_metadata.file_name"), "_start": F.col("_metadata.file_block_start")}
+    # running numbers are consecutive within a block, as a task reads it from its start to its end
+    rows = settled(lines.select("*", *(c.alias(n) for n, c in source.items()), F.monotonically_increasing_id().alias("_row")))
+    blocks = rows.groupBy(*source).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(*source).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*source, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("place")
+    return rows.join(blocks, [*source]).select(*[c for c, _ in EXPORT_COLUMNS], place)
+
+
 def inventory_report(devices: DataFrame) -> DataFrame:
     """Export rows under display headings, with the colour of the row."""
     colour = F.when(F.col("status") == "online", F.lit(ROW_COLOURS["online"])).when(

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -51,11 +50,26 @@ def _uptime_columns(df: DataFrame) -> DataFrame:
 
 
 def _per_day(checks: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    return (
-        checks.withWatermark("checked_at", lateness)
-        .groupBy("device_id", F.window("checked_at", "1 day").alias("period"))
-        .agg(rows().alias("total_checks"), F.count_if("is_online").alias("online_checks"))
-    )
+    return _days_of(checks.withWatermark("checked_at", lateness))
+
+
+def _days_of(checks: DataFrame) -> DataFrame:
+    by_day = checks.groupBy("device_id", F.window("checked_at", "1 day").alias("period"))
+    return by_day.agg(rows().alias("total_checks"), F.count_if("is_online").alias("online_checks"))
+
+
+def once_and_in_time(checks: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """A stream of checks without those that were sent again, and without those that come too late.
+
+    Too late is more than ``lateness`` behind the newest check that was known when the micro-batch before began: so
+    long Spark waits, as windows that the one before it closed are then out. How many it leaves out it reports; see
+    ``feeds.late_rows``."""
+    return checks.withWatermark("checked_at", lateness).dropDuplicatesWithinWatermark(["id"])
+
+
+def daily_uptime_in_time(checks: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """``daily_uptime`` of a stream whose checks may be late or sent twice, in append mode: each day comes once."""
+    return _uptime_columns(_days_of(once_and_in_time(checks, lateness)))
 
 
 def daily_uptime(checks: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -126,7 +140,7 @@ FLIP_SCHEMA = T.StructType(
 )
 LAST_CHECK = T.StructType(
     [
-        T.StructField("checked_at", T.TimestampType()),
+        T.StructField("at", T.LongType()),
         T.StructField("id", T.LongType()),
         T.StructField("is_online", T.BooleanType()),
         T.StructField("ignored", T.LongType()),
@@ -140,49 +154,41 @@ class FlipProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last_check", LAST_CHECK)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        checks = pd.concat(rows).sort_values(["checked_at", "id"])
-        ignored, was = 0, None
-        if self._last.exists():
-            at, number, was, ignored = self._last.get()
-            at = pd.Timestamp(at)
-            newer = (checks.checked_at > at) | ((checks.checked_at == at) & (checks.id > number))
-            ignored += int((~newer).sum())
-            checks = checks[newer]
-            if checks.empty:
-                self._last.update((at.to_pydatetime(), number, was, ignored))
-                return
-        online = checks.is_online.astype(bool)
-        before = online.shift(1, fill_value=bool(online.iloc[0]) if was is None else bool(was)).astype(bool)
-        changed = checks[online != before]
-        newest = checks.iloc[-1]
-        self._last.update((newest.checked_at.to_pydatetime(), int(newest.id), bool(newest.is_online), ignored))
-        if not changed.empty:
-            kind = changed.is_online.map({True: "back_online", False: "offline"})
-            yield pd.DataFrame(
-                {
-                    "device_id": changed.device_id,
-                    "id": changed.id,
-                    "checked_at": changed.checked_at,
-                    "alert_type": kind,
-                    "ignored_checks": ignored,
-                }
-            )
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, number, was, ignored = self._last.get() if self._last.exists() else (None, None, None, 0)
+        flips = []
+        for micros, check, online in sorted((r.at, r.id, r.is_online) for r in rows):
+            if at is not None and (micros, check) <= (at, number):
+                ignored += 1
+                continue
+            if was is not None and online != was:
+                flips.append((check, micros, "back_online" if online else "offline"))
+            at, number, was = micros, check, online
+        self._last.update((at, number, was, ignored))
+        for check, micros, kind in flips:
+            yield Row(device_id=key[0], id=check, at=micros, alert_type=kind, ignored_checks=ignored)
 
     def close(self) -> None:
         pass
 
 
 def flip_stream(probes: DataFrame) -> DataFrame:
-    """Changes of state as they arrive, with the previous state in the state store (RocksDB).
+    """Changes of state as they arrive, with the last check of each device in Spark's state store (RocksDB).
 
-    For live probes: a micro-batch holds a few rows per device, and its size is limited by
-    ``probe_stream``. The first check of a device is silent. Checks older than the stored one are
-    ignored and counted. Use ``run_monitor`` to work through a long history.
+    Only the devices of a micro-batch are read and written there, and their changes are all that a batch uploads, so
+    its cost follows the batch and not the inventory. For live probes: a micro-batch holds a few rows per device, and
+    its size is limited by ``probe_stream``. The first check of a device is silent. Checks older than the stored one
+    are ignored and counted. Use ``run_monitor`` to work through a long history.
     """
-    return probes.groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=FlipProcessor(), outputStructType=FLIP_SCHEMA, outputMode="Append", timeMode="None"
+    # moments as whole numbers, so that no time zone of a worker touches them
+    checks = probes.select("device_id", "id", F.unix_micros(F.col("checked_at").cast("timestamp")).alias("at"), "is_online")
+    flips = checks.groupBy("device_id").transformWithState(
+        statefulProcessor=FlipProcessor(),
+        outputStructType="device_id bigint, id bigint, at bigint, alert_type string, ignored_checks bigint",
+        outputMode="Append",
+        timeMode="None",
     )
+    return flips.select("device_id", "id", F.timestamp_micros("at").alias("checked_at"), "alert_type", "ignored_checks")
 
 
 def use_rocksdb(spark: SparkSession) -> None:

@@ -275,3 +275,24 @@ def test_notifications(spark):
         2: "ALERT: LAPTOP-3 is OFFLINE",
         3: "ALERT: printer-2 is OFFLINE",
     }
+
+
+def test_new_ids_of_an_outage_in_one_moment(spark):
+    """All alerts share their time; ids follow the device, and no task holds them all."""
+    rows = [(i % 500, "offline", f"m{i}", "info", False, NOW) for i in range(3000)]
+    schema = "device_id long, alert_type string, message string, severity string, is_read boolean, created_at timestamp"
+    alerts = spark.createDataFrame(rows + rows[:1], schema)
+    several = {"spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in several}
+    for k, v in several.items():
+        spark.conf.set(k, v)
+    try:
+        found = changes.with_new_ids(alerts, fleet.alerts(spark), "created_at")
+        assert max(r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 1500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    start = fleet.alerts(spark).agg(F.max("id")).first()[0]
+    got = sorted((r.id, r.device_id, r.message) for r in found.collect())
+    wanted = sorted((r[0], r[2]) for r in rows + rows[:1])
+    assert got == [(start + k, d, m) for k, (d, m) in enumerate(wanted, 1)]

@@ -131,3 +131,46 @@ def test_json_rows_keep_nulls_and_cut_fractions(spark):
     found = json.loads(exports.to_json_rows(row).first()[0])
     assert found["started_at"] == "2024-05-01 12:00:00" and found["ip_range"] == 'a"b'
     assert found["finished_at"] is None and list(found) == TABLES["scan_history"].names
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    for by_day in (False, True):
+        path = str(tmp_path / f"uptime-{by_day}")
+        log = fleet.uptime_log(spark)
+        for batch in (0, 1, 0, 1, 1):
+            tables.append_table(log.filter(F.col("id") % 2 == batch), path, "uptime_log", NOW, by_day=by_day, batch=f"b{batch}")
+        assert sorted(tuples(tables.load_table(spark, path, "uptime_log"))) == sorted(tuples(log))
+
+
+def test_lines_that_are_no_host_are_kept_apart(spark, tmp_path):
+    good = '{"ip_address": "10.0.0.1", "state": "up", "protocols": {"tcp": {"22": {"state": "open"}, "x": {"state": "open"}}}}'
+    bad = ['{"ip_address": "10.0.0.2", "sta', "no json", '{"ip_address": "10.0.0.3", "seq": "many"}', "[1, 2]"]
+    nameless = '{"state": "up"}'
+    spark.createDataFrame([(line,) for line in [good, "", "  ", *bad, nameless]], "value string").coalesce(1).write.text(str(tmp_path / "scan"))
+    hosts = tables.load_host_scan(spark, str(tmp_path / "scan")).collect()
+    assert [(h.ip_address, h.state, list(h.protocols["tcp"])) for h in hosts] == [("10.0.0.1", "up", [22])]
+    rejects = {r.line: r.reason for r in tables.host_scan_rejects(spark, str(tmp_path / "scan")).collect()}
+    assert rejects == {**dict.fromkeys(bad, "not readable"), nameless: "no address"}
+
+
+def test_exported_csv_is_read_back_in_order(spark, tmp_path):
+    devices = fleet.devices(spark).withColumn("notes", F.expr("CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a \"b\", c' END"))
+    path = str(tmp_path / "csv")
+    exports.export_inventory_csv(devices, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        found = exports.load_inventory_csv(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = [tuple(r) for r in exports.inventory_export(devices).collect()]
+    assert [tuple(r)[:-1] for r in sorted(found, key=lambda r: r.place)] == wanted
+    assert sorted(r.place for r in found) == list(range(1, len(wanted) + 1))
+
+
+def test_audit_reads_each_table_once(spark, tmp_path):
+    devices, alerts = str(tmp_path / "devices"), str(tmp_path / "alerts")
+    fleet.devices(spark).write.parquet(devices)
+    fleet.alerts(spark).write.parquet(alerts)
+    read = {"devices": spark.read.parquet(devices), "alerts": spark.read.parquet(alerts)}
+    plan = constraints.audit_tables(read, {"devices": spark.read.parquet(devices)})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3 and plan.count("Exchange hashpartitioning(number#") <= 3

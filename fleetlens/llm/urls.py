@@ -35,6 +35,9 @@ RULES = [
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 ]
+# Common suffixes of two labels, under which domains are registered.
+LONG_SUFFIXES = """ac.uk co.uk gov.uk net.uk org.uk com.au net.au org.au co.nz co.za co.jp ne.jp or.jp co.kr co.in com.br com.mx
+com.ar com.cn com.hk com.sg com.tr com.tw""".split()
 #: Levels from the widest to the host, each shrunk to the one before.
 LEVELS = ["everything", "suffix", "domain", "host"]
 #: A host is blocked when its share of good pages is below MIN_GOOD with this many standard deviations to spare.
@@ -52,10 +55,13 @@ def url_parts(url: Column) -> dict[str, Column]:
 
 
 def _levels() -> dict[str, Column]:
+    """User and port are no part of a name; a suffix may have two labels, the registered domain has one more."""
+    name = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":[0-9]*$", "")
+    long = F.substring_index(name, ".", -2).isin(LONG_SUFFIXES)
     return {
         "everything": F.lit(""),
-        "suffix": F.substring_index("host", ".", -1),
-        "domain": F.substring_index("host", ".", -2),
+        "suffix": F.when(long, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1)),
+        "domain": F.when(long, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2)),
     }
 
 
@@ -78,7 +84,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
             continue
         groups = groups.join(above.withColumnRenamed("mean", "prior"), keys[:-1])
         n, k, p = F.col("n"), F.col("k"), F.col("prior")
-        beyond = F.sum((k - n * p) * (k - n * p) / (p * (1 - p)) - n) / F.sum(n * (n - 1))
+        # without a group of two pages nothing tells how groups differ
+        beyond = F.try_divide(F.sum((k - n * p) * (k - n * p) / (p * (1 - p)) - n), F.sum(n * (n - 1)))
         rho = F.greatest(F.lit(RHO_LOW), F.least(F.lit(RHO_HIGH), F.coalesce(beyond, F.lit(RHO_HIGH))))
         weight = groups.agg((1 / rho - 1).alias("weight"))
         a, size = p * F.col("weight") + k, F.col("weight") + n

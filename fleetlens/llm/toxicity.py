@@ -15,11 +15,13 @@ from fleetlens.llm.common import kept_text, shipped, written
 
 #: Labelled rows that the linear models are fitted on, at most, drawn by a hash.
 SAMPLE = 10_000
-#: Words that the models look at, and in how many labelled texts a word must occur.
+#: Words of each category that the models look at, and in how many labelled texts a word must occur.
 VOCABULARY = 1024
 MIN_TEXTS = 5
 #: Squared standard deviations from chance that a word must be: with a million words, chance brings one such.
 MIN_TELL = 25.0
+#: Standard deviations from chance by which the hits of a threshold must lead, or the category is never called.
+MIN_LEAD = 4.0
 FOLDS = 4
 RIDGE = 1e-3
 STEPS = 120
@@ -73,7 +75,8 @@ def _fitted(x: Sparse, y: np.ndarray) -> np.ndarray:
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where out-of-fold probabilities give the best F1; 1 and more (never) if there is no positive row."""
+    """Where out-of-fold probabilities give the best F1; 1 and more (never) if there is no positive row, or if the rows
+    called there are positive no more often than all rows are, beyond chance."""
     if not y.any():
         return 2.0
     order = np.argsort(-p, kind="stable")
@@ -81,6 +84,9 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     ends = np.r_[p[order][1:] != p[order][:-1], True]  # a cut between equal probabilities is none
     best = int(np.argmax(np.where(ends, f1, -1)))
+    n, rate = best + 1, float(y.mean())
+    if hits[best] - n * rate < MIN_LEAD * np.sqrt(n * rate * (1 - rate)) or n == len(y) > y.sum():
+        return 2.0
     below = p[order][best + 1] if best + 1 < len(p) else 0.0
     return float((p[order][best] + below) / 2)
 
@@ -112,10 +118,11 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     """A chain for the 0/1 columns ``categories`` of ``labels``, fitted in that order.
 
     ``labels`` meet the documents by ``id_col``; rows with a null label or id are left out, repeated rows count
-    as often as they meet. Words are chosen by how much their presence tells about a category, counted over all
-    labelled documents. What is shuffled for that is the distinct words of each document, not its text, and by
-    the same plan at every size. The models are fitted on the documents of SAMPLE label rows at most, the only
-    ones that are broadcast; with VOCABULARY that bounds what comes to the driver.
+    as often as they meet. For each category the VOCABULARY words are chosen whose presence tells most about it, the
+    first by name of equal ones, counted over all labelled documents. What is shuffled for that is the distinct
+    words of each document, not its text, and by the same plan at every size. The models are fitted on the documents
+    of SAMPLE label rows at most, drawn from those that meet a document, the only ones that are broadcast; with
+    VOCABULARY that bounds what comes to the driver. A category that nothing tells is never called.
     """
     y = [f"y{i}" for i in range(len(categories))]
     marks = labels.select(
@@ -137,10 +144,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
         rate = min(max(total[f"k{i}"] / total["n"], 1e-9), 1 - 1e-9)
         return F.pow(F.col(f"k{i}") - F.col("n") * rate, F.lit(2)) / (F.col("n") * rate * (1 - rate))
 
-    tells = F.greatest(*(told(i) for i in range(len(categories))), F.lit(0.0))
-    telling = counts.where(f"w <> '' and n >= {MIN_TEXTS}").withColumn("tells", tells).where(F.col("tells") >= MIN_TELL)
-    chosen = telling.orderBy(F.desc("tells"), "w").limit(VOCABULARY).select("w").collect()
-    vocabulary = {r["w"]: i for i, r in enumerate(chosen)}
+    able = counts.where(f"w <> '' and n >= {MIN_TEXTS}")
+    ranked = [able.select("w", told(i).alias("tells")).where(F.col("tells") >= MIN_TELL) for i in range(len(categories))]
+    chosen = [r for telling in ranked for r in telling.orderBy(F.desc("tells"), "w").limit(VOCABULARY).select("w").collect()]
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(r["w"] for r in chosen))}
     held = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
             columns = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int32()))], [*names, "at"])
 
-    drawn = F.broadcast(marks.orderBy(F.xxhash64("id", *y), "id", *y).limit(SAMPLE))
+    met = marks.join(rows.select("id"), "id", "left_semi")
+    drawn = F.broadcast(met.orderBy(F.xxhash64("id", *y), "id", *y).limit(SAMPLE))
     sample = rows.join(drawn, "id").select(F.xxhash64("id", "text").alias("h"), F.col("id").cast("string").alias("id"), "text", *y)
     kinds = ", ".join(f"{n} int" for n in y)
     sample = sample.select("h", "id", *y, "text").mapInArrow(looked_up, f"h long, id string, {kinds}, at array<int>")

@@ -71,3 +71,11 @@ def semi_filtered(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: C
     s = rows.withColumn("__slot", slot(key)).withColumn("__word", F.shiftright("__slot", 5))
     hit = F.expr("shiftright(__bits, cast(pmod(__slot, 32) as int)) & 1L") == 1
     return s.join(F.broadcast(bits), "__word").where(hit).drop("__slot", "__word", "__bits")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so (capitals do not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import kept_text, written
+from fleetlens.llm.common import kept_text, unused, written
 
 #: A stretch of so many aligned words, or the whole item if it is shorter, must agree in SHARE percent of them.
 STRETCH = 16
@@ -17,6 +17,8 @@ SHARE = 80
 PAD = STRETCH - 1
 #: Items with fewer words are no evidence.
 MIN_WORDS = 5
+#: Below so many words an item is evidence only if all its words agree: four of five are common talk.
+SURE_WORDS = 8
 #: Masks of a length of stretch, at most. The heaviest masks are taken of which so many miss no accepted stretch.
 MASKS = 4
 #: Distinct seeds (8 bytes each) that are broadcast; more are joined by a shuffle.
@@ -106,7 +108,7 @@ def _best_stretch() -> Column:
     return F.transform(F.array(equal), best)[0]
 
 
-def _confirmed(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _confirmed(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", exact_below: int = 0) -> tuple[DataFrame, DataFrame]:
     """Regions of the benchmark that documents overlap (id, text_key, region, hits, best, stretch), and the items
     (region, item) that have them."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), _tokens(kept_text(f"`{item_text}`")).alias("tokens"))
@@ -127,32 +129,43 @@ def _confirmed(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     hits = _at_positions(rows, lengths).join(seeds, "seed", "left_semi").select("id", "text_key", "seed", *_around())
     checked = hits.join(regions, "seed").withColumn("best", _best_stretch())
     found = checked.where(100 * F.col("best") >= SHARE * F.col("stretch"))
+    found = found.where((F.col("stretch") >= exact_below) | (F.col("best") == F.col("stretch")))
     found = found.groupBy("id", "text_key", "region").agg(
         F.count("*").alias("hits"), F.max("best").alias("best"), F.max("stretch").alias("stretch")
     )
     return found, members
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    exact_below: int = 0,
+) -> DataFrame:
     """One row per overlap of a document with a benchmark item: id, ``text_key``, item, hits, best, stretch.
 
     A hit is a position at which a document and an item have equal words where a mask asks for them. Around
     each hit the words are aligned, and ``STRETCH`` words in a row (all words of a shorter item) must agree in
-    ``SHARE`` percent. The masks of each length of stretch are such that no stretch that would pass is without a
+    ``SHARE`` percent, and in all if the item has fewer than ``exact_below`` words. The masks of each length of stretch are such that no stretch that would pass is without a
     hit. ``hits`` counts the confirmed hits, ``best`` the equal words of the best stretch.
     ``text_key`` is a hash of the text and tells rows with equal or null ids apart.
 
     Words around a seed that items share are looked up once and count for each of these items. Null or empty
     texts and items below ``MIN_WORDS`` have no overlaps. Equal rows give one row. Other columns are not read.
     """
-    found, members = _confirmed(docs, benchmark, id_col, text, item_id, item_text)
+    found, members = _confirmed(docs, benchmark, id_col, text, item_id, item_text, exact_below)
     return found.join(members, "region").groupBy(F.col("id").alias(id_col), "text_key", "item").agg(
         F.sum("hits").alias("hits"), F.max("best").alias("best"), F.max("stretch").alias("stretch")
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item, with their columns unchanged."""
-    found = _confirmed(docs, benchmark, id_col, text, **settings)[0].select(F.col("id").alias("__id"), "text_key").distinct()
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(kept_text(docs[text])) == F.col("text_key"))
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", exact_below: int = SURE_WORDS, **settings) -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item, with their columns unchanged, whatever they are called."""
+    own, key = unused(docs.columns, "found_id"), unused(docs.columns, "found_key")
+    found = _confirmed(docs, benchmark, id_col, text, exact_below=exact_below, **settings)[0]
+    found = found.select(F.col("id").alias(own), F.col("text_key").alias(key)).distinct()
+    same = docs[f"`{id_col}`"].eqNullSafe(F.col(own)) & (F.xxhash64(kept_text(docs[f"`{text}`"])) == F.col(key))
     return docs.join(found, same, "left_anti")

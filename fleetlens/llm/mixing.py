@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import kept_text, word_count, written
+from fleetlens.llm.common import kept_text, unused, word_count, written
 
 #: No document is used more often.
 EPOCHS = 3
@@ -94,8 +94,9 @@ def mixture(
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, repeats included, sorted by virtual finish time over all files."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *docs.columns)
-    chosen = mixture(whole, ["__row"], **settings).where("copies > 0")
+    row = unused(docs.columns, "whole_row")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), *(F.col(f"`{c}`") for c in docs.columns))
+    chosen = mixture(whole, [row], **settings).where("copies > 0")
     copies = chosen.withColumn("e", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     copies = copies.withColumn("finish", (F.col("e") * F.col("source_size") + F.col("queued")) / F.col("target"))
-    return copies.repartitionByRange("finish").sortWithinPartitions("finish").select("__row.*")
+    return copies.repartitionByRange("finish").sortWithinPartitions("finish").select(f"`{row}`.*")

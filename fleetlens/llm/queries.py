@@ -34,7 +34,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    n_spans = F.size("spans").cast("long")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans.alias("n_spans"), "kept_sha256", (n_spans > 0).alias("has_repeats"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontamination.overlaps(docs, benchmark, exact_below=decontamination.SURE_WORDS)
     return found.select("doc_id", F.col("item").alias("item_id"), "hits", "best", "stretch")
 
 

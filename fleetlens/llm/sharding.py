@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import byte_size, kept_text, written
+from fleetlens.llm.common import byte_size, kept_text, unused, written
 
 SHARDS = 24
 #: Ranges for each shard, and sampled rows for each range.
@@ -89,9 +89,15 @@ def _subdivided(keyed: DataFrame, splitters: list[Splitter], n_ranges: int) -> t
     return splitters, totals
 
 
-def byte_shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def byte_shards(
+    docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", carried: list[str] | None = None, spread: bool = False
+) -> DataFrame:
     """One row per row of ``docs``: id, size, crc32 of the text, shard and slot, by the law ``bytes``.
 
+    With ``carried`` the row has these columns in place of the id; where one of the others is called the same, that
+    gets an underscore before its name. With ``spread`` rows that are equal in id and text are numbered, and each
+    number goes its own way, so that what a mix repeats is dealt out over the shards.
+
     Rows are ordered by (hash of the text, id), so that equal texts stand together; a shard is a run of that
     order. A row belongs to the shard in which the middle of its bytes falls, so a shard misses its share by
     less than the largest row at either end, and only a text on such a border lies in two shards. Slots count
@@ -101,16 +107,19 @@ def byte_shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id",
     and stay in one range. An empty table gives an empty result. Other columns are not read.
     """
     spark, t = docs.sparkSession, kept_text(f"`{text}`")
-    keyed = written(
-        docs.select(
-            F.col(f"`{id_col}`").alias("id"),
-            (byte_size(t) + RECORD_BYTES).alias("size"),
-            F.crc32(t.cast("binary")).alias("text_crc32"),
-            F.xxhash64(t).alias("k1"),
-            F.coalesce(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(0)).alias("k2"),
-        ),
-        "shard-keys",
+    kept = [id_col] if carried is None else carried
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row_columns"),
+        F.col(f"`{id_col}`").alias("id"),
+        (byte_size(t) + RECORD_BYTES).alias("size"),
+        F.crc32(t.cast("binary")).alias("text_crc32"),
+        F.xxhash64(t).alias("k1"),
+        F.coalesce(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(0)).alias("k2"),
     )
+    if spread:
+        copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("size"))
+        keyed = keyed.withColumn("k1", F.xxhash64("k1", "k2", copy))
+    keyed = written(keyed, "shard-keys")
     n_ranges = n_shards * RANGES_PER_SHARD
     splitters, totals = _subdivided(keyed, _splitters(keyed, n_ranges), n_ranges)
     total = max(sum(b for _, _, b in totals), 1)
@@ -131,12 +140,13 @@ def byte_shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id",
         .withColumn("shard", F.expr(f"cast(least({n_shards - 1}, (2 * end - size) * {n_shards} div (2 * {total}L)) as int)"))
     )
     per_range = placed.groupBy("shard").agg(F.min("row").alias("first_row"))
-    return placed.join(F.broadcast(per_range), "shard").select(
-        F.col("id").alias(id_col),
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("row") - F.col("first_row")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    found = {
+        "size": F.col("size"),
+        "text_crc32": F.col("text_crc32"),
+        "law": F.lit("bytes"),
+        "shard": F.col("shard"),
+        "slot": (F.col("row") - F.col("first_row")).cast("long"),
+        "grown_shard": F.lit(None).cast("int"),
+    }
+    named = [c.alias(unused(kept, n)) for n, c in found.items()]
+    return placed.join(F.broadcast(per_range), "shard").select(*(F.col(f"row_columns.`{c}`").alias(c) for c in kept), *named)

@@ -420,3 +420,63 @@ def test_bands_follow_the_similarity():
     assert [minhash.n_bands(s) for s in (100, 85, 80, 50)] == [1, 18, 25, 204]
     for s in (85, 80, 60, 50, 30):
         assert (1 - (s / 100) ** 4) ** minhash.n_bands(s) <= minhash.MISSED
+
+
+def test_hosts_of_one_page_each(spark):
+    outcomes = spark.createDataFrame([(f"http://u@h{i}.co.uk:80{i}/", i % 3 > 0) for i in range(9)], "url string, good boolean")
+    pages = spark.createDataFrame([(1, "http://h3.co.uk/x"), (2, "http://new.co.uk/")], "id long, address string")
+    got = urls.url_filter(pages, outcomes, id_col="id", url="address").collect()
+    assert {(r["id"], r["host"], r["verdict"]) for r in got} == {(1, "h3.co.uk", "allow"), (2, "new.co.uk", "allow")}
+    one = urls.url_filter(pages, outcomes.limit(1), id_col="id", url="address")
+    assert one.count() == 2
+
+
+def test_a_bad_domain_takes_its_small_hosts_along(spark):
+    outcomes = [(f"http://h{i}.spam.co.uk/", False) for i in range(80)] + [(f"http://h{i}.fine.co.uk/{k}", True) for i in range(40) for k in range(3)]
+    outcomes += [(f"http://h{i}.spam.co.uk/2", False) for i in range(80)]
+    pages = spark.createDataFrame([(1, "http://h1.spam.co.uk/"), (2, "http://h1.fine.co.uk/")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, spark.createDataFrame(outcomes, "url string, good boolean")).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
+def test_common_phrases_are_no_evidence(spark):
+    bench = spark.createDataFrame([(1, "he was one of the"), (2, "seven words that make a short item"), (3, "eight words that make a not short item")], "item_id long, text string")
+    docs = table(spark, [(10, "she was one of the best in town", "a"), (11, "so seven words that make a long item", "a"), (12, "Seven words that make a short item.", "a"), (13, "eight words that make a very short item", "a")])
+    assert {r["doc_id"] for r in decontamination.clean(docs, bench).collect()} == {10, 11}
+    found = decontamination.overlaps(docs, bench, exact_below=decontamination.SURE_WORDS).collect()
+    assert {(r["doc_id"], r["item"]) for r in found} == {(12, 2), (13, 3)}
+
+
+def test_a_label_that_nothing_tells_is_never_called(spark, given):
+    labels = given.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0).cast("int").alias("noise"))
+    strangers = spark.range(10**6, 10**6 + 20000).select(F.col("id").alias("doc_id"), F.lit(1).alias("noise"))
+    rare = given.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" zzword"))).otherwise(F.col("text")))
+    labels = labels.withColumn("marked", (F.col("doc_id") % 3 == 0).cast("int")).unionByName(strangers.withColumn("marked", F.lit(0)))
+    chain = toxicity.learn(rare, labels, ["noise", "marked"])
+    got = toxicity.predict(rare.where("text <> ' zzword'"), chain).toPandas()
+    assert not got["noise"].any()
+    assert (got["marked"] == (got["doc_id"] % 3 == 0)).mean() > 0.99
+
+
+NAMES = "__id __key __kept __row whole_row row_columns text_key kept_id kept_key found_id found_key id size shard slot law k1 k2 copies queued target h run name".split()
+
+
+def test_pipeline_takes_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    odd = docs.select("*", *(F.lit(n).alias(n) for n in NAMES))
+    plain = docs
+    for _, stage in corpus_pipeline.STAGES:
+        odd, plain = stage(spark, odd, DATA), stage(spark, plain, DATA)
+        assert sorted(r["doc_id"] for r in odd.collect()) == sorted(r["doc_id"] for r in plain.collect())
+        assert set(NAMES) <= set(odd.columns)
+    assert {"text", "source", "_shard", "_slot"} <= set(odd.columns) and {"text", "shard", "slot"} <= set(plain.columns)
+
+
+def test_repeats_of_the_mix_are_spread(spark):
+    rows = table(spark, [(i, f"text {i} " * 30, "a") for i in range(200)] * 2)
+    got = sharding.byte_shards(rows, 10, carried=rows.columns, spread=True).toPandas()
+    assert list(got.columns[: len(rows.columns)]) == rows.columns
+    apart = got.groupby("doc_id")["shard"].nunique()
+    assert len(got) == 400 and (apart == 2).mean() > 0.8
+    for _, shard in got.groupby("shard"):
+        assert sorted(shard["slot"]) == list(range(len(shard)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontamination, minhash, mixing, quality, sharding
-from fleetlens.llm.common import kept_text, written
+from fleetlens.llm.common import kept_text, unused, written
 
 #: Least similarity of near duplicates in the corpus, in percent.
 NEAR = 80
@@ -30,10 +30,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     least = found.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.*")
     alone = found.where("root is null").select("doc_id", "text_key").distinct()
-    kept = least.select("doc_id", "text_key").union(alone).withColumnsRenamed({"doc_id": "__id", "text_key": "__kept"})
-    keyed = docs.withColumn("__key", F.xxhash64(kept_text(docs["text"])))
-    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    own, wanted, key = (unused(docs.columns, n) for n in ("kept_id", "kept_key", "text_key"))
+    kept = least.select("doc_id", "text_key").union(alone).withColumnsRenamed({"doc_id": own, "text_key": wanted})
+    keyed = docs.withColumn(key, F.xxhash64(kept_text(docs["text"])))
+    same = keyed["doc_id"].eqNullSafe(F.col(own)) & (F.col(key) == F.col(wanted))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
-    return sharding.byte_shards(docs)
+    """Every row with its shard and slot; what the mix repeats goes to different places."""
+    return sharding.byte_shards(docs, carried=docs.columns, spread=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -22,6 +22,7 @@ from fleetlens.llm import (
     toxicity,
     urls,
 )
+from fleetlens.llm.oracle import ORACLE_SQL  # noqa: F401  the same results as SQL, for the entry points
 
 
 #: Least similarity of near duplicates that op7_minhash is asked for, in percent.
@@ -144,27 +145,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_hard_negatives,
     ]
 }
-
-#: The same results as SQL over the given tables.
-ORACLE_SQL: dict[str, str] = {
-    "op13_hard_negatives": """
-        WITH whole AS (
-            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
-            FROM embeddings
-            WHERE label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        scored AS (
-            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
-                   CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
-            FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-        positive AS (
-            SELECT * FROM scored WHERE same
-            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
-        SELECT p.anchor_id, p.vec_id AS positive_id,
-               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INT) AS rank,
-               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
-        FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
-         AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
-        QUALIFY rank <= 3""",
-}

@@ -119,7 +119,8 @@ def byte_shards(
     if spread:
         copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("size"))
         keyed = keyed.withColumn("k1", F.xxhash64("k1", "k2", copy))
-    keyed = written(keyed, "shard-keys")
+    stored = written(keyed.withColumn("row_id", F.monotonically_increasing_id()), "shard-keys")
+    keyed = stored.select("row_id", "id", "size", "text_crc32", "k1", "k2")
     n_ranges = n_shards * RANGES_PER_SHARD
     splitters, totals = _subdivided(keyed, _splitters(keyed, n_ranges), n_ranges)
     total = max(sum(b for _, _, b in totals), 1)
@@ -149,4 +150,10 @@ def byte_shards(
         "grown_shard": F.lit(None).cast("int"),
     }
     named = [c.alias(unused(kept, n)) for n, c in found.items()]
-    return placed.join(F.broadcast(per_range), "shard").select(*(F.col(f"row_columns.`{c}`").alias(c) for c in kept), *named)
+    rows = placed.join(F.broadcast(per_range), "shard")
+    if carried is None:
+        return rows.select(F.col("id").alias(id_col), *named)
+    # ranges are few and hold keys only; the carried columns meet their places in as many tasks as their size asks for
+    return rows.select("row_id", *named).join(stored.select("row_id", "row_columns"), "row_id").select(
+        *(F.col(f"row_columns.`{c}`").alias(c) for c in kept), *(unused(kept, n) for n in found)
+    )

@@ -1,4 +1,4 @@
-"""Repeated strings by sparse suffix arrays: suffixes at content-chosen anchors, sorted, with their common prefixes."""
+"""Repeated strings by longest factors of sparse suffix arrays, taken at content-chosen anchors."""
 
 from __future__ import annotations
 
@@ -21,6 +21,10 @@ CHOICES = 256
 GRAM = LENGTH - CHOICES + 1
 #: Suffixes that one sparse suffix array holds at most. Larger groups are parted by longer grams.
 GROUP = 256
+#: Suffixes whose arrays one call works on together, at least; a group of equal grams is never parted.
+TOGETHER = 2048
+#: A key with more than one in HOT_SHARE of all rows is hot. There are at most HOT_SHARE such keys, so their facts are broadcast.
+HOT_SHARE = 1000
 #: Widths of the stretches of windows that larger groups are parted into, in turn.
 CELLS = [32, 4, 1]
 _VALUES = constants(23, 256)
@@ -81,12 +85,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the segments that a document stands for, on the left and on the right of the anchor."""
+    """The bytes of the segments whose first anchor a document has, on the left and on the right of the anchor."""
     for batch in batches:
-        out: dict[str, list] = {n: [] for n in ("g", "s", "n", "a_low", "a_high", "left", "right")}
-        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+        out: dict[str, list] = {n: [] for n in ("g", "s", "n", "a_low", "a_high", "left", "right", "at")}
+        owner = []
+        for row, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)):
             data = text.encode("utf-8", "surrogatepass")
             for p in places:
+                owner.append(row)
                 out["g"].append(p["g"])
                 out["s"].append(p["s"])
                 out["n"].append(p["n"])
@@ -94,9 +100,12 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 out["a_high"].append(p["x"] - p["low"])
                 out["left"].append(data[p["low"] : p["x"]])
                 out["right"].append(data[p["x"] : p["high"] + LENGTH])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                out["at"].append(p["x"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
         columns = [pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([*columns, columns[0], columns[1]], [*out, "g0", "s0"])
+        rows = pa.array(owner, pa.int64())
+        columns = [*columns[:7], columns[0], columns[1], batch.column("id").take(rows), batch.column("text_key").take(rows), columns[7]]
+        yield pa.RecordBatch.from_arrays(columns, ["g", "s", "n", "a_low", "a_high", "left", "right", "g0", "s0", "id", "text_key", "at"])
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -113,76 +122,122 @@ def _common(a: bytes, b: bytes) -> int:
     return low if high == low or a[low : low + 1] != b[low : low + 1] else low + 1
 
 
-def repeated_offsets(contexts: list[tuple[bytes, bytes, int, int]]) -> list[list[tuple[int, int]]]:
-    """For each context (left, right, a_low, a_high) the runs of offsets whose windows another context has too.
+def _moved_left(order: np.ndarray, lcp: np.ndarray, group: np.ndarray, byte: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The array of the suffixes that start one byte further left, from that of the present ones.
 
-    The right parts, suffixes from the anchor on, are sorted; neighbours have the longest common prefixes, and
-    that of any two is the least between them. From each suffix the walk goes to previous and next ones, while
-    the common prefix suffices for some window. The window at offset a before the anchor repeats where the
-    common part reaches ``a`` bytes to the left and ``LENGTH - a`` to the right.
+    ``byte`` is what each suffix gains. Sorting by it alone keeps the present order among equals, which is the
+    order of the longer suffixes; two of them share one byte more than the least common prefix between them.
     """
-    order = sorted(range(len(contexts)), key=lambda i: contexts[i][1])
-    lcp = [_common(contexts[i][1], contexts[j][1]) for i, j in zip(order, order[1:], strict=False)]
-    turned = [c[0][::-1] for c in contexts]
-    found: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    for rank, i in enumerate(order):
-        _, _, a_low, a_high = contexts[i]
-        runs = []
-        for ranks in (range(rank - 1, -1, -1), range(rank + 1, len(order))):
-            right = LENGTH
-            for r in ranks:
-                right = min(right, lcp[min(r, rank) if r < rank else r - 1])
-                first = max(a_low, LENGTH - right)
-                if first > a_high:
-                    break
-                last = min(a_high, _common(turned[i], turned[order[r]]))
-                if first <= last:
-                    runs.append((first, last))
-                    if (first, last) == (a_low, a_high):
-                        break
-        runs.sort()
-        for first, last in runs:
-            if found[i] and first <= found[i][-1][1] + 1:
-                found[i][-1] = (found[i][-1][0], max(found[i][-1][1], last))
-            else:
-                found[i].append((first, last))
-    return found
-
-
-def _array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by g: one sparse suffix array for each g. Equal segments are one suffix that repeats."""
-
-    def rows() -> Iterator[dict]:
-        for batch in batches:
-            yield from batch.to_pylist()
+    ranks = np.flatnonzero(there[order])
+    key = group[order[ranks]] * 256 + byte[order[ranks]]
+    turn = np.argsort(key, kind="stable")
+    ranks, key = ranks[turn], key[turn]
+    moved = np.zeros(len(ranks), np.int64)
+    same = np.flatnonzero(key[1:] == key[:-1])
+    if len(same):
+        edges = np.stack([ranks[same] + 1, ranks[same + 1] + 1], axis=1).ravel()
+        moved[same + 1] = 1 + np.minimum.reduceat(np.r_[lcp, 0], edges)[::2]
+    return order[ranks], moved
+
+
+def longest_factors(position: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix of an array the longest prefix that a suffix at a smaller position has too.
+
+    That suffix is the previous or the next one in the array at a smaller position. ``lcp`` is the common prefix
+    with the one before, 0 where a group begins. A factor below ``least`` is told as some number below it.
+    """
+
+    def scanned(p: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        smaller = np.arange(len(p)) - 1
+        on = np.flatnonzero(reach >= least)
+        on = on[p[smaller[on]] > p[on]]
+        while len(on):  # what lies between a suffix and its candidate is at greater positions, so candidates are passed on
+            via = smaller[on]
+            reach[on], smaller[on] = np.minimum(reach[on], reach[via]), smaller[via]
+            on = on[reach[on] >= least]
+            on = on[p[smaller[on]] > p[on]]
+        return reach
+
+    after = scanned(position[::-1], np.r_[0, lcp[:0:-1]])[::-1]
+    return np.maximum(scanned(position, lcp.copy()), after)
+
 
-    out: dict[str, list] = {"g0": [], "s0": [], "a_first": [], "a_last": []}
+def repeated_offsets(
+    contexts: list[tuple[bytes, bytes, int, int]], groups: list[int] | None = None, only_later: bool = False
+) -> list[list[tuple[int, int]]]:
+    """For each context (left, right, a_low, a_high) the runs of offsets whose windows another one of its group has too.
 
-    def put(row: dict, runs: list[tuple[int, int]]) -> None:
-        for first, last in runs:
-            for name, value in zip(out, (row["g0"], row["s0"], first, last), strict=True):
-                out[name].append(value)
+    Contexts come in the order of their positions; with ``only_later`` the other one must be an earlier context.
 
-    def flushed() -> pa.RecordBatch:
+    The right parts, suffixes from the anchor on, are sorted within their group and have their longest common
+    prefixes. The arrays of the suffixes that start 1, 2, ... bytes before the anchor follow from it. In each of them
+    a window repeats if the longest factor at smaller positions, or that at greater ones, has LENGTH bytes.
+    """
+    m = len(contexts)
+    group = np.array(groups if groups is not None else [0] * m, np.int64)
+    a_high = np.array([c[3] for c in contexts], np.int64)
+    width = int(a_high.max(initial=-1)) + 1
+    before = np.zeros((m, width), np.uint8)
+    for i, (left, _, _, _) in enumerate(contexts):
+        before[i, : len(left)] = np.frombuffer(left, np.uint8)[::-1]
+    order = np.array(sorted(range(m), key=lambda i: (group[i], contexts[i][1])), np.int64)
+    lcp = np.zeros(m, np.int64)
+    for r in range(1, m):
+        i, j = order[r - 1], order[r]
+        if group[i] == group[j]:
+            lcp[r] = _common(contexts[i][1], contexts[j][1])
+    hit = np.zeros((m, width + 2), np.int8)
+    for a in range(width):
+        if a:
+            order, lcp = _moved_left(order, lcp, group, before[:, a - 1], a_high >= a)
+        if not (lcp >= LENGTH).any():
+            continue
+        found = longest_factors(order, lcp, LENGTH) >= LENGTH
+        if not only_later:
+            found |= longest_factors(-order, lcp, LENGTH) >= LENGTH
+        hit[order[found], a + 1] = 1
+    edges = np.diff(hit, axis=1)
+    owner, first = np.nonzero(edges == 1)
+    last = np.nonzero(edges == -1)[1] - 1
+    runs: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    for i, low, high in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True):
+        runs[i].append((low, high))
+    return runs
+
+
+def _position(row: dict) -> tuple:
+    """Sorts as Spark sorts (id, text_key, at): null comes first."""
+    known = row["id"] is not None
+    return (known, row["id"] if known else 0, row["text_key"], row["at"])
+
+
+def _array_rows(keep_first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by g: one sparse suffix array for each g. Equal segments are one suffix that repeats.
+
+    With ``keep_first`` the runs are those of the segment's first anchor.
+    """
+
+    def together(rows: list[dict]) -> pa.RecordBatch:
+        rows.sort(key=_position)
+        runs = repeated_offsets([(r["left"], r["right"], r["a_low"], r["a_high"]) for r in rows], [r["part"] for r in rows], keep_first)
+        out: dict[str, list] = {"g0": [], "s0": [], "a_first": [], "a_last": []}
+        for row, own in zip(rows, runs, strict=True):
+            for first, last in own if keep_first or row["n"] == 1 else [(row["a_low"], row["a_high"])]:
+                for name, value in zip(out, (row["g0"], row["s0"], first, last), strict=True):
+                    out[name].append(value)
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
-        for v in out.values():
-            v.clear()
-        return batch
-
-    for _, group in groupby(rows(), key=lambda r: r["g"]):
-        by_segment: dict[int, list[dict]] = {}
-        for row in group:
-            by_segment.setdefault(row["s"], []).append(row)
-        heads = [same[0] for same in by_segment.values()]
-        runs = repeated_offsets([(h["left"], h["right"], h["a_low"], h["a_high"]) for h in heads])
-        for same, own in zip(by_segment.values(), runs, strict=True):
-            several = sum(r["n"] for r in same) > 1
-            for row in same:  # a repeated row of the table may bring a context twice; then n counts it too
-                put(row, [(row["a_low"], row["a_high"])] if several else own)
-        if len(out["g0"]) > 50_000:
-            yield flushed()
-    yield flushed()
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[dict] = []
+        for part, (_, group) in enumerate(groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["g"])):
+            waiting += ({**r, "part": part} for r in group)
+            if len(waiting) >= TOGETHER:
+                yield together(waiting)
+                waiting = []
+        yield together(waiting)
+
+    return arrays
 
 
 def _parted(cell: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -207,8 +262,7 @@ def _parted(cell: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                             "a_high": high,
                             "left": both[x - high : x],
                             "right": both[x : x + LENGTH - low],
-                            "g0": r["g0"],
-                            "s0": r["s0"],
+                            **{name: r[name] for name in ("g0", "s0", "id", "text_key", "at")},
                         }
                     )
             yield pa.RecordBatch.from_pylist(out, batch.schema)
@@ -220,28 +274,42 @@ def _digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-CONTEXT = "g long, s long, n long, a_low int, a_high int, left binary, right binary, g0 long, s0 long"
+CONTEXT = "g long, s long, n long, a_low int, a_high int, left binary, right binary, g0 long, s0 long, id {kind}, text_key long, at long"
+POSITION = ("id", "text_key", "at")
+
+
+def _joined(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Rows with the facts of their keys, of which ``count`` says how many of ``total`` rows have them.
+
+    Hot keys meet their facts by broadcast, so that no task gets all rows of a key; the others are shuffled.
+    """
+    hot = facts.where(F.col(count) > total / HOT_SHARE)
+    direct = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return direct.unionByName(others.join(facts.where(F.col(count) <= total / HOT_SHARE), keys))
 
 
-def _repeats(contexts: DataFrame) -> DataFrame:
-    """(g0, s0, a_first, a_last): runs of repeated windows of each segment.
+def _repeats(contexts: DataFrame, kind: str, keep_first: bool) -> DataFrame:
+    """(g0, s0, a_first, a_last): runs of repeated windows of each segment, or of its first anchor (``keep_first``).
 
     Groups of equal grams that one task can hold get a sparse suffix array. Larger ones, as of a passage that
     very many documents share, are parted by stretches of windows, whose longer grams make smaller groups; in
-    the end a stretch is one window, and a group of them needs only to be counted.
+    the end a stretch is one window, and a group of them needs only its count and its first position.
     """
     found = []
     for cell in [*CELLS, 0]:
-        size = contexts.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("copies"))
-        sized = contexts.join(size.where("copies > 1"), "g")
+        size = contexts.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("copies"), F.min(F.struct(*POSITION)).alias("least"))
+        facts = written(size.where("rows > 1" if keep_first else "copies > 1"), "context-groups")
+        sized = _joined(contexts, facts, ["g"], "rows", contexts.count())
         if cell == 0:
-            found.append(sized.select("g0", "s0", F.col("a_low").alias("a_first"), F.col("a_high").alias("a_last")))
+            later = F.struct(*POSITION) != F.col("least") if keep_first else F.lit(True)
+            found.append(sized.where(later).select("g0", "s0", F.col("a_low").alias("a_first"), F.col("a_high").alias("a_last")))
             break
         small = sized.where(F.col("rows") <= GROUP).select(contexts.columns)
         arrays = small.repartition("g").sortWithinPartitions("g")
-        found.append(arrays.mapInArrow(_array_rows, "g0 long, s0 long, a_first int, a_last int"))
+        found.append(arrays.mapInArrow(_array_rows(keep_first), "g0 long, s0 long, a_first int, a_last int"))
         large = sized.where(F.col("rows") > GROUP).select(contexts.columns)
-        contexts = written(large.mapInArrow(_parted(cell), CONTEXT), "contexts")
+        contexts = written(large.mapInArrow(_parted(cell), CONTEXT.format(kind=kind)), "contexts")
         if contexts.isEmpty():
             break
     result = found[0]
@@ -268,57 +336,68 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(kept).hexdigest())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         carried = [batch.column(n) for n in ("id", "n_bytes")]
-        columns = [*carried, pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(digests, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+        columns = [*carried, pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(digests, pa.string()), batch.column("copies")]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "spans", "kept_sha256", "copies"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_first: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, spans (start, end) in bytes, kept_sha256.
 
     A byte is removed if it is covered by a string of LENGTH bytes that also starts anywhere else, in the same
-    text or another one; strings are judged on the input. ``spans`` are the maximal removed runs.
+    text or another one; with ``keep_first`` only if it also starts earlier, by (id, hash of the text, place), so
+    that one copy stays. Strings are judged on the input. ``spans`` are the maximal removed runs.
 
     A full suffix array would sort every byte of the corpus. Here suffixes are taken at anchors only: every
     window of LENGTH bytes names one gram inside it by a rule that looks at the window alone, so equal windows
     name the same place. Anchors are grouped by gram. Where all windows around the anchors of a group are
-    equal, or the group has one anchor, that settles it. Otherwise, near the ends of repeated passages, a
-    suffix array of the group's contexts with its common prefixes gives the windows that repeat.
+    equal, or the group has one anchor, that settles it. Otherwise, near the ends of repeated passages, the
+    longest factors at smaller and at greater positions, from sparse suffix arrays of the group's contexts, tell
+    the windows that repeat.
 
-    A null or empty text has no bytes, and a text below LENGTH bytes loses none. Ids may be null or repeated;
-    equal rows count as copies of each other. Other columns are not read.
+    A null or empty text has no bytes, and a text below LENGTH bytes loses none. A text is held whole by one task,
+    and searched in pieces. Ids may be null or repeated. Rows equal in id and text count as copies of each other;
+    with ``keep_first`` they are one text, as ``dropDuplicates`` sees them. Other columns are not read.
     """
     t = kept_text(f"`{text}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("text_key"), t.alias("text"))
-    kind = dict(rows.dtypes)["id"]
+    kind = rows.schema["id"].dataType.simpleString()
     long = rows.where(F.octet_length("text") >= LENGTH)
     columns = f"id {kind}, text_key long, x long, low long, high long, g long, s long"
     anchors = written(long.mapInArrow(_anchor_rows, columns), "anchors")
+    total = anchors.count()
     groups = anchors.groupBy("g").agg(F.count("*").alias("anchors"), F.min("s").alias("s_min"), F.max("s").alias("s_max"))
-    groups = groups.where("anchors > 1").select("g", (F.col("s_min") != F.col("s_max")).alias("differ"))
-    met = written(anchors.join(groups, "g"), "met-anchors")
-
-    # one anchor stands for all with an equal segment
-    first = [F.first(c).alias(c) for c in ("id", "text_key", "x", "low", "high")]
-    segments = met.where("differ").groupBy("g", "s").agg(F.count("*").alias("n"), *first)
-    place = F.struct("g", "s", "n", "x", "low", "high")
-    places = written(segments.groupBy("id", "text_key").agg(F.collect_list(place).alias("places")), "places")
-    chosen = _with_texts(long, places, "places").mapInArrow(_context_rows, CONTEXT)
-    repeats = _repeats(written(chosen, "contexts"))
+    groups = written(groups.where("anchors > 1").select("g", "anchors", (F.col("s_min") != F.col("s_max")).alias("differ")), "anchor-groups")
+    met = written(_joined(anchors, groups, ["g"], "anchors", total).drop("anchors"), "met-anchors")
+
+    # the first anchor stands for all with an equal segment
+    lead = F.min(F.struct("id", "text_key", "x", "low", "high")).alias("lead")
+    judged = met if keep_first else met.where("differ")
+    segments = written(judged.groupBy("g", "s").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), lead), "segments")
+    place = F.struct("g", "s", "n", "lead.x", "lead.low", "lead.high")
+    leads = segments.where("differ").groupBy("lead.id", "lead.text_key")
+    places = written(leads.agg(F.collect_list(place).alias("places")), "places")
+    chosen = _with_texts(long, places, "places").mapInArrow(_context_rows, CONTEXT.format(kind=kind))
+    repeats = _repeats(written(chosen, "contexts"), kind, keep_first)
 
     # a row per segment, so that the join gives a row per anchor however many runs a segment has
-    per_segment = repeats.groupBy("g0", "s0").agg(F.collect_set(F.struct("a_first", "a_last")).alias("offsets"))
-    own = met.where("differ").join(per_segment, F.expr("g = g0 and s = s0"))
+    run = F.struct(F.col("a_first"), F.col("a_last"))
+    offsets = repeats.groupBy(F.col("g0").alias("g"), F.col("s0").alias("s")).agg(F.collect_set(run).alias("offsets"))
+    noted = segments.join(offsets, ["g", "s"], "left" if keep_first else "inner").select("g", "s", "n", "lead", "offsets")
+    own = _joined(judged, written(noted, "noted-segments"), ["g", "s"], "n", total)
     x = F.col("x")
     in_text = F.transform("offsets", lambda r: F.struct((x - r["a_last"]).alias("first"), (x - r["a_first"]).alias("last")))
     whole_segment = F.array(F.struct(F.col("low").alias("first"), F.col("high").alias("last")))
-    runs = own.select("id", "text_key", in_text.alias("runs"))
-    runs = runs.union(met.where("not differ").select("id", "text_key", whole_segment))
-    runs = runs.groupBy("id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    runs = written(runs, "runs")
+    if keep_first:
+        is_lead = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("text_key") == F.col("lead.text_key")) & (x == F.col("lead.x"))
+        found = own.select("id", "text_key", F.when(is_lead, in_text).otherwise(whole_segment).alias("runs")).where("runs is not null")
+    else:
+        found = own.select("id", "text_key", in_text.alias("runs")).union(met.where("not differ").select("id", "text_key", whole_segment))
+    # equal rows bring equal runs, which are merged before the shuffle
+    runs = written(found.groupBy("id", "text_key").agg(F.flatten(F.collect_set("runs")).alias("runs")), "runs")
     sized = rows.withColumn("n_bytes", byte_size(F.col("text")))
-    changed = _with_texts(sized, runs, "runs").mapInArrow(
-        _cleaned, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
-    )
+    cleaned = f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, copies long"
+    changed = _with_texts(sized, runs, "runs").mapInArrow(_cleaned, cleaned)
+    changed = changed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
     whole = sized.select("id", "text_key", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     unchanged = whole.join(runs.select("id", "text_key").alias("r"), _same(whole, F.col("r.id"), F.col("r.text_key")), "left_anti")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -331,10 +410,15 @@ def _same(rows: DataFrame, id_: Column, text_key: Column) -> Column:
 
 
 def _with_texts(rows: DataFrame, notes: DataFrame, name: str) -> DataFrame:
-    """Rows with a text and what is noted of them; the texts of the others are dropped before the shuffle."""
+    """One row for all that are equal in id and text, with what is noted of them and how many copies there are.
+
+    The texts of the others are dropped before the shuffle, and equal rows become one before it.
+    """
+    keys = [F.xxhash64("id").alias("id_key"), F.col("text_key")]
     some = semi_filtered(rows, F.col("text_key"), notes, F.col("text_key"))
-    noted = notes.select(F.col("id").alias("n_id"), F.col("text_key").alias("n_key"), name)
-    return some.join(noted, _same(some, F.col("n_id"), F.col("n_key"))).select(*rows.columns, name)
+    firsts = [F.first(c).alias(c) for c in rows.columns if c != "text_key"]
+    once = some.groupBy(*keys).agg(*firsts, F.count("*").alias("copies"))
+    return once.join(notes.select(*keys, name), ["id_key", "text_key"]).select(*rows.columns, "copies", name)
 
 
 shipped(__name__)

@@ -30,6 +30,52 @@ def _level(above: str, level: str, keys: list[str]) -> str:
         FROM {level}_sums, {level}_rho)"""
 
 
+# Frequent words of four languages, as the rule on stop words knows them.
+STOP_WORDS = """the of and to a in is that for with was it this are from have der die das und ist nicht von zu mit ein eine auf
+im den des le la les et de un une est que qui dans pour du en sur el los las y una es por con para del se""".split()
+
+OP3 = rf"""
+WITH given AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    cut AS (
+        SELECT r, doc_id, t, regexp_extract_all(t, '{WORD}') AS words,
+               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines
+        FROM given),
+    placed AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM cut),
+    triples AS (
+        SELECT r, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)),
+    twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM triples WHERE w3 IS NOT NULL),
+    repeated AS (
+        SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS step(k) WHERE twice.n > 1 GROUP BY r),
+    by_word AS (
+        SELECT r, sum(length(w)) AS word_chars, count(*) FILTER (NOT regexp_matches(w, '\p{{L}}')) AS plain,
+               count(*) FILTER (regexp_full_match(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '({"|".join(STOP_WORDS)})[.,;:!?]*')) AS stop
+        FROM placed GROUP BY r),
+    counted AS (
+        SELECT doc_id, len(words) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+               len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+               coalesce(repeated.n, 0) AS n_repeat_words, coalesce(plain, 0) AS plain, coalesce(stop, 0) AS stop,
+               len(regexp_extract_all(t, '\p{{Lu}}')) AS upper_chars, len(lines) AS n_lines,
+               len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS bullets,
+               len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*\z'))) AS ellipses
+        FROM cut LEFT JOIN by_word USING (r) LEFT JOIN repeated USING (r)),
+    ruled AS (
+        SELECT *, concat_ws(',', CASE WHEN n_words < 50 THEN 'few_words' END,
+            CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 'repeated_windows' END,
+            CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 'word_length' END,
+            CASE WHEN 10 * n_symbols > n_words THEN 'symbols' END,
+            CASE WHEN 100 * stop < n_words THEN 'stop_words' END,
+            CASE WHEN 10 * plain > 3 * n_words THEN 'words_without_letter' END,
+            CASE WHEN 10 * upper_chars > 3 * word_chars THEN 'capitals' END,
+            CASE WHEN 2 * n_dup_lines > n_lines THEN 'duplicate_lines' END,
+            CASE WHEN 10 * bullets > 9 * n_lines THEN 'bullet_lines' END,
+            CASE WHEN 10 * ellipses > 3 * n_lines THEN 'ellipsis_lines' END) AS failed
+        FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed = '' AS kept, failed
+FROM ruled"""
+
+
 OP6 = rf"""
 WITH addressed AS (
         SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
@@ -114,4 +160,4 @@ FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
 QUALIFY rank <= 3"""
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6, "op8_mixing": OP8, "op13_hard_negatives": OP13}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3, "op6_url_filter": OP6, "op8_mixing": OP8, "op13_hard_negatives": OP13}

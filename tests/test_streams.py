@@ -123,6 +123,29 @@ def test_monitor_raises_alerts_and_moves_devices_per_batch(spark, feed, tmp_path
     assert moved == sorted(map(tuple, changes.apply_status(devices, batch).collect()))
 
 
+def test_monitor_writes_the_devices_of_a_batch_only(spark, feed, tmp_path, monkeypatch):
+    """Seven batches of few devices after the history, in two starts; the places are used again from the seventh batch on."""
+    monkeypatch.setattr(monitor, "FULL_EVERY", 3)
+    devices = fleet.devices(spark)
+    out = run_monitor(spark, feed, tmp_path, devices=devices)
+    known = {r.device_id: r for r in monitor.monitored_state(spark, out).collect()}
+    news = [(9000 + i, 1 + i % 2, ago(minutes=-5 * i - 5), i % 3 == 0, i) for i in range(7)]
+    for part in (news[:5], news[5:]):
+        for row in part:
+            fleet.frame(spark, "uptime_log", [row]).coalesce(1).write.mode("append").parquet(feed)
+        run_monitor(spark, feed, tmp_path, devices=devices, max_files=1)
+    for table, key in (("state", "device_id"), ("devices", "id")):
+        written = [(r[key], r.written_by) for r in spark.read.parquet(f"{out}/{table}/1").collect()]
+        assert written == [(1, 7)]
+    history = checks(spark).unionByName(fleet.frame(spark, "uptime_log", news))
+    assert flip_set(monitor.monitored_flips(spark, out)) == flip_set(status_flips(history))
+    after = {r.device_id: r for r in monitor.monitored_state(spark, out).collect()}
+    assert {d: r for d, r in after.items() if d > 2} == {d: r for d, r in known.items() if d > 2}
+    assert (after[1].id, after[2].id) == (9006, 9005)
+    moved = sorted(map(tuple, monitor.monitored_devices(spark, out).collect()))
+    assert moved == sorted(map(tuple, changes.apply_status(devices, history).collect()))
+
+
 def test_newest_status_needs_no_sort(spark):
     plan = changes.newest_status(checks(spark))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan

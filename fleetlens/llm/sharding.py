@@ -116,11 +116,12 @@ def byte_shards(
         F.xxhash64(t).alias("k1"),
         F.coalesce(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(0)).alias("k2"),
     )
-    if spread:
-        copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("size"))
-        keyed = keyed.withColumn("k1", F.xxhash64("k1", "k2", copy))
     stored = written(keyed.withColumn("row_id", F.monotonically_increasing_id()), "shard-keys")
     keyed = stored.select("row_id", "id", "size", "text_crc32", "k1", "k2")
+    if spread:
+        # numbered on keys alone: the carried columns take no part in this shuffle
+        copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("row_id"))
+        keyed = written(keyed.withColumn("k1", F.xxhash64("k1", "k2", copy)), "spread-keys")
     n_ranges = n_shards * RANGES_PER_SHARD
     splitters, totals = _subdivided(keyed, _splitters(keyed, n_ranges), n_ranges)
     total = max(sum(b for _, _, b in totals), 1)

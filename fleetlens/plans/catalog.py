@@ -322,11 +322,23 @@ def monitor_status(f: Fleet) -> DataFrame:
     return monitor.monitored_devices(f.spark, monitored(f)).select("id", "status", "last_seen")
 
 
-def in_weeks(f: Fleet, rows: DataFrame, arrived: Column, stream_of: Callable[[DataFrame], DataFrame], purpose: str) -> tuple[DataFrame, list]:
-    """What a stream appends while rows come in week by week, and what its micro-batches report."""
+def in_weeks(
+    f: Fleet,
+    rows: DataFrame,
+    arrived: Column,
+    stream_of: Callable[[DataFrame], DataFrame],
+    purpose: str,
+    end_of: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, list]:
+    """What a stream appends while rows come in week by week, and what its micro-batches report.
+
+    ``end_of`` makes of all rows those of a last part, after the weeks.
+    """
     folder = scratch_dir(f.spark, purpose)
     probes.use_rocksdb(f.spark)
     feed = feeds.written_in_parts(rows, week_of(arrived), folder)
+    if end_of:
+        feed.end_with(end_of(f.spark.read.schema(rows.schema).parquet(feed.path)))
     stream = stream_of(feed.stream())
     query = probes.write_stream(stream, f"{folder}/rows", f"{folder}/checkpoint", available_now=True)
     query.awaitTermination()
@@ -361,8 +373,12 @@ def stream_status(f: Fleet) -> DataFrame:
 
 
 def stream_sliding_uptime(f: Fleet) -> DataFrame:
-    """Seven days of every device, moved on by a day: sums of days, then of windows, both in the stream's state."""
-    return in_weeks(f, zoned(f.uptime_log, "checked_at"), F.col("checked_at"), probes.sliding_uptime, "sliding-uptime")[0]
+    """Seven days of every device, moved on by a day: sums of days, then of windows, both in the stream's state.
+
+    A closing check ends the feed, so the windows that are still open after its last week come out too.
+    """
+    checks = zoned(f.uptime_log, "checked_at")
+    return in_weeks(f, checks, F.col("checked_at"), probes.sliding_uptime, "sliding-uptime", probes.closing_check)[0]
 
 
 def late_feed(f: Fleet) -> DataFrame:

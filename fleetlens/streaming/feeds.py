@@ -27,6 +27,10 @@ class Feed:
         reader = self.rows.sparkSession.readStream.schema(self.rows.schema)
         return reader.option("maxFilesPerTrigger", self.files_per_part).parquet(self.path)
 
+    def end_with(self, rows: DataFrame) -> None:
+        """Add a last part."""
+        rows.coalesce(1).write.mode("append").parquet(self.path)
+
     def reports(self, query: StreamingQuery) -> list[tuple[object, dict]]:
         """(part, report) of the micro-batches that had rows; the others only move windows on."""
         every = [json.loads(p.json) for p in query.recentProgress]

@@ -86,6 +86,16 @@ def sliding_uptime(checks: DataFrame, days: int = 7) -> DataFrame:
     return _slid(_per_day(checks).withColumn("at", F.window_time("period")), days)
 
 
+def closing_check(checks: DataFrame, days: int = 7, lateness: str = LATENESS) -> DataFrame:
+    """A check of no device, so far behind the others that every window of ``days`` days with one of them closes.
+
+    A feed that ends is sent it last. Its own windows stay open, so they never come out. None where there are no checks.
+    """
+    newest = checks.agg(F.max("checked_at").alias("checked_at")).filter("checked_at is not null")
+    after = (F.col("checked_at") + F.expr(f"INTERVAL {days + 1} DAYS") + F.expr(f"INTERVAL {lateness}")).alias("checked_at")
+    return newest.select(*(after if field.name == "checked_at" else F.lit(None).cast(field.dataType).alias(field.name) for field in checks.schema))
+
+
 def sliding_of_days(daily: DataFrame, days: int = 7) -> DataFrame:
     """The same from rows of ``daily_uptime``, batch only; no window waits to be closed."""
     return _slid(daily.withColumn("at", F.col("window_start").cast("timestamp")), days)

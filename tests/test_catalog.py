@@ -35,3 +35,8 @@ def test_known_numbers_of_flips(spark):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 15
+
+
+def test_sliding_stream_has_the_windows_open_at_the_end(spark):
+    streamed, batch = (entry.queries()[name](spark, SF_DIR) for name in ("stream_sliding_uptime", "sliding_uptime"))
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.select(streamed.columns).collect()))

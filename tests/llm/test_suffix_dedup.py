@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,26 @@ def test_runs_of_windows_against_all_pairs(monkeypatch):
                 others = [windows(j) for j in range(len(contexts)) if j < i or (j > i and not only_later)]
                 plain = {a for g, a, w in windows(i) if any((g, a, w) in o for o in others)}
                 assert {a for first, last in runs for a in range(first, last + 1)} == plain
+
+
+def test_contexts_are_sent_in_batches_of_bounded_size(monkeypatch):
+    """One batch of the input makes many times its bytes; a task must not hold them together."""
+    monkeypatch.setattr(suffix_dedup, "SENT_ROWS", 64)
+    rng = random.Random(7)
+    texts = [rng.randbytes(900).hex() for _ in range(700)]
+    place = {"g": 1, "s": 0, "n": 1, "x": 255, "low": 0, "high": 255}
+    places = [[{**place, "s": i}, {**place, "s": -i, "x": 500, "low": 400, "high": 500}] for i in range(len(texts))]
+    docs = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text_key": [3] * len(texts), "text": texts, "places": places})
+    contexts = list(suffix_dedup._context_rows(iter([docs])))
+    assert max(b.nbytes for b in contexts) < 1 << 16
+    rows = [r for b in contexts for r in b.to_pylist()]
+    assert [(r["id"], r["s"], (r["left"] + r["right"]).decode()) for r in rows] == [
+        (i, p["s"], texts[i][p["low"] : p["high"] + N]) for i in range(len(texts)) for p in places[i]
+    ]
+
+    whole = pa.RecordBatch.from_pylist(rows, contexts[0].schema)
+    for cell in suffix_dedup.CELLS:
+        parts = list(suffix_dedup._parted(cell)(iter([whole.slice(0, 40)])))
+        assert max(b.nbytes for b in parts) < (1 << 16 if cell > 1 else 1 << 13)
+        windows = [(r["id"], r["at"], a) for b in parts for r in b.to_pylist() for a in range(r["a_low"], r["a_high"] + 1)]
+        assert sorted(windows) == sorted((r["id"], r["at"], a) for r in rows[:40] for a in range(r["a_low"], r["a_high"] + 1))

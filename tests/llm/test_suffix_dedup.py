@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import suffix_dedup
+from fleetlens.llm import queries, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 N = suffix_dedup.LENGTH
@@ -146,3 +146,26 @@ def test_contexts_are_sent_in_batches_of_bounded_size(monkeypatch):
         assert max(b.nbytes for b in parts) < (1 << 16 if cell > 1 else 1 << 13)
         windows = [(r["id"], r["at"], a) for b in parts for r in b.to_pylist() for a in range(r["a_low"], r["a_high"] + 1)]
         assert sorted(windows) == sorted((r["id"], r["at"], a) for r in rows[:40] for a in range(r["a_low"], r["a_high"] + 1))
+
+
+def test_passages_of_over_fifty_words_by_their_bytes(spark, tmp_path):
+    """A passage counts from LENGTH bytes on, however many words it has; other documents are left alone."""
+    rng = random.Random(8)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7))) for _ in range(400))[: n - 1] + "."
+
+    passages = [words(n) for n in (N - 60, N - 1, N, N + 1, N + 300)]
+    assert all(len(p.split()) > 50 for p in passages)
+    rows = [(10 * k + i, f"{words(700)}{i}{p}{i}{words(500)}") for k, p in enumerate(passages) for i in range(4)]
+    rows += [(100 + i, words(1500)) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        passage = passages[doc_id // 10] if doc_id < 100 else ""
+        kept = text.replace(passage, "") if len(passage) >= N else text
+        removed = len(text) - len(kept)
+        r = got[doc_id]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["has_repeats"]) == (len(text), removed, int(removed > 0), removed > 0)
+        assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,32 @@ def test_contexts_are_sent_in_batches_of_bounded_size(monkeypatch):
         assert sorted(windows) == sorted((r["id"], r["at"], a) for r in rows[:40] for a in range(r["a_low"], r["a_high"] + 1))
 
 
+def test_what_a_worker_holds_does_not_grow_with_the_batch():
+    """Anchors are searched and texts cleaned a few at a time, so that a worker holds a part of its batch."""
+    rng = random.Random(9)
+    texts = [rng.randbytes(1500).hex() for _ in range(1200)]
+    runs = [[{"first": 100 + i, "last": 200 + i}, {"first": 300, "last": 400 + i}] for i in range(len(texts))]
+    columns = {"id": list(range(len(texts))), "n_bytes": [3000] * len(texts), "text_key": [3] * len(texts), "text": texts, "runs": runs}
+    docs = pa.RecordBatch.from_pydict({**columns, "copies": [1] * len(texts)})
+
+    singly = [r for i in range(0, len(texts), 100) for b in suffix_dedup._anchor_rows(iter([docs.slice(i, 1)])) for r in b.to_pylist()]
+    tracemalloc.start()
+    together = list(suffix_dedup._anchor_rows(iter([docs])))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 32 << 20
+    assert [r for b in together for r in b.to_pylist() if r["id"] % 100 == 0] == singly
+
+    cleaned = list(suffix_dedup._cleaned(iter([docs])))
+    assert max(b.num_rows for b in cleaned) <= suffix_dedup.SLICE
+    got = [r for b in cleaned for r in b.to_pylist()]
+    assert [r["id"] for r in got] == list(range(len(texts)))
+    for i in (0, 300, 1199):
+        edges = [(100 + i, 200 + i + N), (300, 400 + i + N)]
+        kept = "".join(c for p, c in enumerate(texts[i]) if not any(a <= p < b for a, b in edges))
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (3000 - len(kept), hashlib.sha256(kept.encode()).hexdigest())
+
+
 def test_passages_of_over_fifty_words_by_their_bytes(spark, tmp_path):
     """A passage counts from LENGTH bytes on, however many words it has; other documents are left alone."""
     rng = random.Random(8)
